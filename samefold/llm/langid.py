@@ -138,8 +138,9 @@ def train(rows: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     return dict(sorted(found.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score (the cosine, no less than 0) for each row of docs. No shuffle."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score (the cosine, no less than 0) and the columns in `keep`, for each row
+    of docs. No shuffle."""
     langs = list(prototypes)
     dim = len(next(iter(prototypes.values()))) if langs else DIM
     table = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-9) for x in langs], np.float32).reshape(len(langs), dim)
@@ -159,11 +160,13 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             k = int(cos.argmax())
             names.append(langs[k])
             scores.append(float(min(1.0, max(0.0, cos[k]))))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(names), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
-        )
+        more = [batch.column(2 + k) for k in range(len(keep))]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names), pa.array(scores, pa.float64()), *more], ["doc_id", "__lang", "__score", *keep])
 
-    return arrow_map(docs.select("doc_id", "text"), "doc_id long, lang_pred string, score double", one)
+    types = dict(docs.dtypes)
+    schema = "doc_id long, __lang string, __score double" + "".join(f", `{c}` {types[c]}" for c in keep)
+    out = arrow_map(docs.select("doc_id", "text", *keep), schema, one)
+    return out.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"}) if not keep else out
 
 
 def held_out(column: str = "doc_id"):
@@ -175,3 +178,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+#: Texts whose best cosine is under this have no recognisable language.
+MIN_SCORE = 0.01
+
+
+def recognised(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs without the rows that have no letter or no recognisable language. The prototypes are
+    learned from all rows of docs whose lang isn't null."""
+    model = train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
+    scored = predict(docs, model, keep=("text", *extra))
+    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)
