@@ -1,5 +1,64 @@
-"""Placeholder until all stages exist."""
+"""Training-data pipeline: five stages over documents, each written as Parquet and read again.
 
+A stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return
+the columns of documents, n_chars counted anew where text has changed; the last returns the pieces
+of all remaining documents and their places in sequences.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from samefold.llm import decontaminate, langid, linededup, neardup, packing
+from samefold.llm.common import documents, staged, table
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or a recognisable language go."""
+    return langid.recognised(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in three documents or more stay only in the one with the largest id."""
+    return _counted(linededup.dedup_lines(docs), docs.columns)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return neardup.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of several items, or mostly made of such, go; single passages are cut."""
+    return _counted(decontaminate.clean(docs, table(spark, sf_dir, "benchmark")), docs.columns)
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_join", ngram_join),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit),
+]
+
+#: The first stage's prototypes can't be expressed in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs
