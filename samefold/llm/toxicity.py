@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a text is a bag of sentences, only the bag has a label.
 
-A sentence's score is a logistic function of its words' weights; the text's score is the noisy-or of
+A sentence's score is a logistic function of the weights of its words and their beginnings; the text's score is the noisy-or of
 its sentences, 1 - prod(1 - p). Training lowers the log-loss of the texts' labels through the
 noisy-or, so a toxic text's gradient goes to the sentences that explain it, and the sentence scores
 locate the offending sentences afterwards.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from samefold.llm.common import arrow_map, documents, folded_words, small_batches, table, utf8
 
 #: The bound of the training sample, for each class.
-SAMPLE = 5_000
-#: A word needs so many training texts to get a weight.
+SAMPLE = 3_000
+#: A feature needs so many training texts to get a weight.
 MIN_TEXTS = 4
 EPOCHS = 120
 L1 = 2e-4
@@ -39,9 +39,15 @@ def sentences(text: str | None) -> list[bytes]:
     return _SENTENCE.findall(utf8(text))
 
 
+def features(words) -> set[bytes]:
+    """Words, and what longer words begin with (marked by *), so inflected and unseen forms count."""
+    words = set(words)
+    return words.union([w[:4] + b"*" for w in words if len(w) > 4], [w[:5] + b"*" for w in words if len(w) > 5])
+
+
 def bag(text: str | None) -> list[list[bytes]]:
-    """The distinct words of each sentence that has any."""
-    return [sorted(set(w)) for s in sentences(text) if (w := folded_words(s.decode()))]
+    """The features of each sentence that has a word."""
+    return [sorted(features(w)) for s in sentences(text) if (w := folded_words(s.decode()))]
 
 
 def fit(texts: list[str], labels: list[int]) -> tuple[dict[bytes, float], float]:
@@ -105,8 +111,8 @@ def score_sentences(text: str | None, weights: dict[bytes, float], bias: float)
     """Score, start and end (bytes of UTF-8) of each sentence with a word."""
     out = []
     for m in _SENTENCE.finditer(utf8(text)):
-        if words := set(folded_words(m[0].decode())):
-            z = bias + sum(weights.get(w, 0.0) for w in words)
+        if words := folded_words(m[0].decode()):
+            z = bias + sum(weights.get(w, 0.0) for w in features(words))
             out.append((1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), m.start(), m.end()))
     return out
 
@@ -123,7 +129,7 @@ def score(docs: DataFrame, model: tuple[dict[bytes, float], float]) -> DataFrame
         for text in batch.column(1).to_pylist():
             if not text:
                 rows.append((0.0, None, None, None))
-            elif known.isdisjoint(folded_words(text)):  # every sentence scores alike
+            elif known.isdisjoint(features(folded_words(text))):  # every sentence scores alike
                 n = sum(1 for s in sentences(text) if folded_words(s.decode()))
                 rows.append((-math.expm1(n * idle), None, None, None))
             else:
