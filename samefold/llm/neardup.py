@@ -8,7 +8,8 @@
    `RECALL`: depth 4 of 5, where it is 0.9998.
 3. A stream over a subtree keeps a few leaders. A row is linked to each leader whose signature isn't
    clearly too far for a partner of the row to be close to it, and becomes a leader if none is
-   close. A subtree of n rows gives about n links, however many pairs it has. Subtrees that a
+   close. Of the near leaders, one of each component is linked, so a subtree of n rows gives fewer
+   than n links, however many pairs it has. Subtrees that a
    partition's edge cuts are joined through their leaders.
 4. Components of these links are verified exactly: all pairs within a component are compared by
    their shingle sets, in tiles of at most about two thousand texts, of which each task holds one.
@@ -150,22 +151,33 @@ class Leaders:
 
     def __init__(self):
         self.fps: list[bytes] = []
+        self.part: list[int] = []  # of each leader: a leader nearer the root of its component
         self.sigs = np.empty((8, TREES * DEPTH), np.uint8)
 
+    def _root(self, k: int) -> int:
+        while self.part[k] != k:
+            self.part[k] = k = self.part[self.part[k]]
+        return k
+
     def meet(self, fp: bytes, sig: np.ndarray, tight: float, loose: float) -> list[bytes]:
-        """The leaders to link a row with; the row may become one."""
+        """Leaders to link a row with, which may become one: of those near enough, one of each
+        component, so the links of a subtree are a forest."""
         n = len(self.fps)
-        linked, close = [], False
+        linked, roots, close = [], [], False
         if n:
             # a share of 1/16 of four-bit values agree by chance
             est = ((self.sigs[:n] == sig).mean(axis=1) - 1 / 16) * (16 / 15)
-            linked = [self.fps[k] for k in np.flatnonzero(est >= loose).tolist()]
+            roots = sorted({self._root(k) for k in np.flatnonzero(est >= loose).tolist()})
+            linked = [self.fps[k] for k in roots]
+            for k in roots[1:]:
+                self.part[k] = roots[0]
             close = bool(est.max() >= tight)
         if not close:
             if n == len(self.sigs):
                 self.sigs = np.concatenate((self.sigs, np.empty_like(self.sigs)))
             self.sigs[n] = sig
             self.fps.append(fp)
+            self.part.append(roots[0] if roots else n)
         return linked
 
 
@@ -222,7 +234,8 @@ def candidate_links(reps: DataFrame) -> DataFrame:
     # leaders of subtrees at partition edges: few for each partition; x ~ leader ~ leader ~ y may be further apart
     ends = found.where("b IS NULL").select("tree", "path", F.col("a").alias("fp"), "bits").repartition("tree", "path").sortWithinPartitions("tree", "path", "fp")
     across = ends.mapInArrow(lambda b: subtree_links(b, TIGHT, LOOSE / 2, False), _LINKS)
-    return found.where("b IS NOT NULL").select("a", "b").unionByName(across.select("a", "b")).distinct()
+    links = found.where("b IS NOT NULL").select("a", "b").unionByName(across.select("a", "b"))
+    return links.distinct()
 
 
 # ---- exact verification
