@@ -433,3 +433,22 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(ws, i, i + least(len(ws), 5)::BIGINT - 1) AS g FROM (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2)::BIGINT)) AS i FROM w WHERE len(ws) > 0)),
+keys AS (SELECT doc_id, sha256(string_agg(array_to_string(g, ' '), chr(10) ORDER BY array_to_string(g, ' '))) AS k, count(*) AS n FROM s GROUP BY doc_id),
+reps AS (SELECT k, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n FROM keys GROUP BY k),
+rs AS (SELECT doc_id AS rep, g FROM s WHERE doc_id IN (SELECT rep FROM reps)),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM rs a JOIN rs b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+links AS (SELECT common.a, common.b FROM common JOIN reps x ON x.rep = common.a JOIN reps y ON y.rep = common.b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT rep AS a, rep AS b FROM reps UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+class AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+nl AS (SELECT a AS rep, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(class_id, d.doc_id)::BIGINT AS class_id, coalesce(r.rep, d.doc_id)::BIGINT AS copy_id, coalesce(copies, 1)::BIGINT AS n_copies, coalesce(nl.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN keys USING (doc_id) LEFT JOIN reps r USING (k) LEFT JOIN class c ON c.rep = r.rep LEFT JOIN nl ON nl.rep = r.rep
+"""

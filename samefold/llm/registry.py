@@ -22,6 +22,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op10_suffix_dedup": suffixdedup.SQL,
+        "op2_ngram_join": neardup.SQL,
         "op4_quality_rules": quality.SQL,
         "op5_license_scan": licenses.SQL,
         "op6_decontaminate": decontaminate.SQL,

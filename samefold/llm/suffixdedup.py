@@ -403,3 +403,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return arrow_map(found, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", one)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_slice(t, i + 1, i + 100) ORDER BY doc_id, i) AS k FROM (
+  SELECT doc_id, t, unnest(range(0, greatest(octet_length(t) - 99, 0))) AS i FROM d)),
+g AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS fresh FROM w WHERE k > 1),
+n AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY ALL),
+e AS (SELECT doc_id, b AS a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM r UNION ALL SELECT doc_id, 0, min(a) FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(hex(array_slice(t, a + 1, coalesce(b, octet_length(t)))), '' ORDER BY a) AS h FROM e JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN h IS NULL THEN t ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
