@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from samefold.config import EngineConfig
 from samefold.functions.similarity import float4, hamming, set_similarity, trigrams, without_brand, word_similarity
+from samefold.storage import persisted
 
 TRIGRAM_FLOOR = 0.35
 RAW_FLOOR = 0.3
@@ -163,7 +164,7 @@ def near_vector(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> Dat
 def candidates(queries: DataFrame, fps: DataFrame, config: EngineConfig | None = None, limit: int | None = None, image: bool = True) -> DataFrame:
     """query_id, kind, ref, leg, place, pool_rank: the pool of each query."""
     config = config or EngineConfig()
-    pairs = text_pairs(queries, fps)
+    pairs = persisted(text_pairs(queries, fps), "text-pairs")  # two legs read it
     legs = [exact(queries, fps, config), by_trigram(pairs, config), by_words(pairs, queries, fps, config)]
     if image and config.image_enabled:
         legs += [near_hash(queries, fps, config), near_vector(queries, fps, config)]
