@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from samefold.llm.common import documents
 
-THRESHOLD = 0.85
+THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases and their labels.
