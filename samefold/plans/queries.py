@@ -296,6 +296,6 @@ QUERIES = {
         normalize_gtin, normalize_mpn, fold_text, normalize_brand, normalize_name_tokens, parse_query, validate_query, fingerprint_build, coverage, reconcile_diff,
         upsert_snapshot, refresh_outcomes, stream_refresh, block_exact, block_phash, block_vector_topk, block_trigram_topk, block_words, candidates_union,
         trigram_similarity, score_levels, decide_verdict, relevance_rank, search_topk, check_topk, check_overall, rejected_pairs, eval_threshold_sweep,
-        eval_confusion, eval_recall, eval_decision_view, eval_outcomes,
+        eval_confusion, eval_recall, eval_decision_view,
     )
 }
