@@ -98,8 +98,13 @@ class Vectors:
 
 
 def train(rows: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototypes from all rows of (text, lang). Tasks send a vector for each language; these are
-    added up in two steps by language."""
+    """Prototypes from all rows of (text, lang)."""
+    return {lang: v[:-1] for lang, v in _sums(rows, dim).items()}
+
+
+def _sums(rows: DataFrame, dim: int) -> dict[str, np.ndarray]:
+    """Prototypes, each with the number of its training trigrams as one more element. Tasks send a
+    vector for each language; these are added up in two steps by language."""
     spark = rows.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +113,7 @@ def train(rows: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
         def bundle(lang: str) -> None:
             grams, counts = (np.concatenate(x) for x in zip(*held.pop(lang), strict=True))
             grams, back = np.unique(grams, return_inverse=True)
-            sums[lang] = sums.get(lang, 0) + vectors.bundle(grams, np.bincount(back, counts)).astype(np.float64)
+            sums[lang] = sums.get(lang, 0) + np.append(vectors.bundle(grams, np.bincount(back, counts)).astype(np.float64), counts.sum())
 
         sizes: dict[str, int] = {}
         for batch in batches:
@@ -132,15 +137,15 @@ def train(rows: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found: dict[str, np.ndarray] = {}
     for r in summed.collect():  # languages x dimensions, of which the first factor is checked below
-        found.setdefault(r.lang, np.zeros(dim))[r.i] = r.x
+        found.setdefault(r.lang, np.zeros(dim + 1))[r.i] = r.x
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"{len(found)} values of lang; at most {MAX_LANGUAGES} can be learned")
     return dict(sorted(found.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = (), fit: dict[str, float] | None = None) -> DataFrame:
     """doc_id, lang_pred, score (the cosine, no less than 0) and the columns in `keep`, for each row
-    of docs. No shuffle."""
+    of docs. With `fit` (see fits()) texts whose cosine is under floor() get 'und'. No shuffle."""
     langs = list(prototypes)
     dim = len(next(iter(prototypes.values()))) if langs else DIM
     table = np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-9) for x in langs], np.float32).reshape(len(langs), dim)
@@ -158,7 +163,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
             v = vectors.bundle(grams, counts)
             cos = table @ v / max(float(np.linalg.norm(v)), 1e-9)
             k = int(cos.argmax())
-            names.append(langs[k])
+            names.append(langs[k] if fit is None or cos[k] >= floor(counts, fit[langs[k]], dim) else "und")
             scores.append(float(min(1.0, max(0.0, cos[k]))))
         more = [batch.column(2 + k) for k in range(len(keep))]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names), pa.array(scores, pa.float64()), *more], ["doc_id", "__lang", "__score", *keep])
@@ -180,14 +185,38 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-#: Texts whose best cosine is under this have no recognisable language.
-MIN_SCORE = 0.01
+#: A text is of a language if its trigrams are at least this share as common in the language's
+#: training texts as those texts' own trigrams are on average.
+SHARE = 1 / 3
+#: Standard deviations (1 / sqrt(dim)) of the cosine of unrelated vectors that count as noise.
+NOISE = 2.0
+
+
+def fits(sums: dict[str, np.ndarray]) -> dict[str, float]:
+    """For each language the root of the chance that two training trigrams are equal, from
+    prototypes with counts: trigram vectors are all but orthogonal, so |prototype|^2 / dim is the
+    sum of the squared counts, in which each trigram also meets itself."""
+    out = {}
+    for lang, v in sums.items():
+        n = max(v[-1], 2.0)
+        out[lang] = float(np.sqrt(max(v[:-1] @ v[:-1] / (len(v) - 1) - n, 0.0) / (n * (n - 1))))
+    return out
+
+
+def floor(counts: np.ndarray, fit: float, dim: int) -> float:
+    """The least cosine of a text of the language. A text of n trigrams with counts c that are drawn
+    as in training has on average the cosine n * fit / |c|: little for a few words, near 1 for long
+    texts, less where a text repeats itself. SHARE of it is asked for, and to be clear of the noise
+    as far as the language's own texts of that size are."""
+    c, noise = counts.astype(np.float64), NOISE / dim**0.5
+    usual = fit * float(c.sum() / np.sqrt(c @ c))
+    return max(SHARE * usual, min(noise, usual - noise))
 
 
-def recognised(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+def recognised(docs: DataFrame) -> DataFrame:
     """docs without the rows that have no letter or no recognisable language. The prototypes are
     learned from all rows of docs whose lang isn't null."""
-    model = train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    sums = _sums(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), DIM)
     extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    scored = predict(docs, model, keep=("text", *extra))
-    return scored.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)
+    scored = predict(docs, {lang: v[:-1] for lang, v in sums.items()}, keep=("text", *extra), fit=fits(sums))
+    return scored.where(F.col("__lang") != "und").select(*docs.columns)

@@ -367,6 +367,24 @@ def test_language(spark, empty):
     assert kept.columns == df.columns and kept.count() == 61
 
 
+def test_unrecognised_texts_go(spark):
+    rng = random.Random(5)
+    known = {
+        "en": "all human beings are born free and equal in dignity and rights they are endowed with reason and conscience and should act towards one another in a spirit of brotherhood",
+        "de": "alle menschen sind frei und gleich an würde und rechten geboren sie sind mit vernunft und gewissen begabt und sollen einander im geiste der brüderlichkeit begegnen",
+    }
+    unlearned = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä"
+    said = lambda words, k: " ".join(rng.choices(words.split(), k=k))
+    noise = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(60))
+    good = [(said(w, 40), lang) for lang, w in known.items() for _ in range(60)]
+    good += [(x, None) for x in ("human", "menschen", "born free", "sie sind", "and " * 400, said(known["de"], 3))]
+    bad = [noise(x) for x in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", [chr(0x4E00 + k) for k in range(3000)]) for _ in range(20)]
+    bad += [said(unlearned, 100) for _ in range(20)]
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([*good, *((t, None) for t in bad)])]
+    kept = langid.recognised(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(good)))
+
+
 def test_trigram_vector_is_bound_from_permuted_letters():
     v = langid.Vectors(256)
     a, b, c = (v.letter(ord(x)).astype(int) for x in "abc")
