@@ -1,6 +1,8 @@
 """License scans as an exact set-similarity join, in DataFrame functions only.
 
-A block is a line of a text; its tokens are its distinct words. A template is found in a block that
+A block is a line of a text, or what stands around a line break: for a template of n words the n - 1
+words on each side, wherever other lines begin and end, so a wrapped notice lies whole in the block
+of any break within it. A block's tokens are its distinct words. A template is found in a block that
 holds at least `THRESHOLD` of the template's tokens. Tokens are ordered by how often they occur in
 the whole corpus, rarest first. A template T needs a = ceil(THRESHOLD * |T|) common tokens, so:
 - prefix: one of T's first |T| - a + 1 tokens is in the block; only these are indexed;
@@ -71,18 +73,19 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sets = [(label, set(text.split())) for label, text in templates]
+    reach = [len(text.split()) - 1 for _, text in templates]
     vocab = sorted(set().union(*(s for _, s in sets)))
     count = frequencies(docs, vocab)
     rank = {w: k for k, w in enumerate(sorted(vocab, key=lambda w: (count.get(w, 0), w)))}
     index = []
-    for label, words in sets:
+    for (label, words), near in zip(sets, reach, strict=True):
         order = sorted(rank[w] for w in words)
         a = needed(len(order), threshold)
-        index += [(r, i, order, a, label) for i, r in enumerate(order[: len(order) - a + 1])]
+        index += [(r, i, order, a, label, near) for i, r in enumerate(order[: len(order) - a + 1])]
     prefix = sorted({r[0] for r in index})
     rare = [w for w in vocab if rank[w] in set(prefix)]
     least = min(r[3] for r in index)
-    table = F.broadcast(spark.createDataFrame(index, "r int, i int, tokens array<int>, a int, label string"))
+    table = F.broadcast(spark.createDataFrame(index, "r int, i int, tokens array<int>, a int, label string, near int"))
 
     # one pass over each text; the rest looks only at rows that may hold something
     text = F.coalesce("text", F.lit(""))
@@ -99,19 +102,35 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         hits.append(f"transform(filter(sequence(0, size(ws) - 1), i -> {test}), i -> struct(i AS at, '{name}' AS label))")
     places = F.expr(f"concat({', '.join(hits)})")
     ranks = F.create_map(*(F.lit(x) for w in vocab for x in (w, rank[w])))
-    block = lambda line: F.array_sort(F.array_distinct(F.filter(F.transform(exact_words(line), lambda w: F.try_element_at(ranks, w)), lambda r: r.isNotNull())))
-    blocks = F.filter(F.transform(F.split("text", "\n"), block), lambda b: F.size(b) >= least)
+    held = lambda rs: F.array_sort(F.array_distinct(F.filter(rs, lambda r: r.isNotNull())))
+    ranked = F.transform(F.split("text", "\n"), lambda x: F.transform(exact_words(x), lambda w: F.struct(F.try_element_at(ranks, w).alias("r"), (w == "").alias("no"))))
+    # the ranks of each line's words, null for words of no template; lines without words have nothing to carry on
+    lines = F.transform(F.filter(ranked, lambda ws: ~F.element_at(ws, 1)["no"]), lambda ws: F.transform(ws, lambda w: w["r"]))
+    far = max(1, *reach)
+    tail = lambda rs: F.slice(rs, F.greatest(F.lit(1), F.size(rs) - (far - 1)), F.lit(far))
+    heads, tails = F.transform("lines", lambda rs: F.slice(rs, 1, far)), F.transform("lines", tail)
+    left = lambda k: tail(F.flatten(F.slice(tails, F.greatest(F.lit(1), k - (far - 1)), F.least(k, F.lit(far)))))
+    right = lambda k: F.slice(F.flatten(F.slice(heads, k + 1, F.lit(far))), 1, far)
+    none = F.lit(None).cast("array<int>")
+    own = F.transform("lines", lambda rs: F.struct(held(rs).alias("b"), none.alias("left"), none.alias("right")))
+    breaks = F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    sides = F.transform(breaks, lambda k: F.struct(left(k).alias("left"), right(k).alias("right")))
+    around = F.transform(sides, lambda x: F.struct(held(F.concat(x["left"], x["right"])).alias("b"), x["left"].alias("left"), x["right"].alias("right")))
+    rares = F.array(*map(F.lit, prefix))
+    blocks = F.concat(F.filter(own, lambda x: F.size(x["b"]) >= least), F.filter(around, lambda x: (F.size(x["b"]) >= least) & F.arrays_overlap(x["b"], rares)))
     sieved = low.withColumns({
         "ws": F.when(maybe, exact_words(F.col("text"))),
-        "blocks": F.when(F.arrays_overlap(F.split("low", " "), F.array(*map(F.lit, rare))), blocks),
+        "lines": F.when(F.arrays_overlap(F.split("low", " "), F.array(*map(F.lit, rare))), lines),
         "n_words": n_words,
-    }).select("rid", "doc_id", "n_words", F.when(F.col("ws").isNotNull(), places).alias("places"), "blocks")
+    }).select("rid", "doc_id", "n_words", F.when(F.col("ws").isNotNull(), places).alias("places"), F.when(F.col("lines").isNotNull(), blocks).alias("blocks"))
 
-    tokens = sieved.select("*", F.explode_outer("blocks").alias("b")).select("rid", "doc_id", "n_words", "places", "b", F.posexplode_outer("b").alias("j", "r"))
+    tokens = sieved.select("*", F.explode_outer("blocks").alias("x")).select("rid", "doc_id", "n_words", "places", "x.*", F.posexplode_outer("x.b").alias("j", "r"))
     # an outer join: rows without a block, and blocks without a prefix token, stay for their document
     at, size_b = F.least("i", "j"), F.size("b")
     bound = at + 1 + F.least(F.size("tokens") - F.col("i") - 1, size_b - F.col("j") - 1)
-    found = tokens.join(table, "r", "left").withColumn("common", F.when((size_b >= F.col("a")) & (bound >= F.col("a")), F.size(F.array_intersect("b", "tokens"))))
+    near = F.concat(F.slice("left", F.greatest(F.lit(1), F.size("left") - F.col("near") + 1), F.col("near")), F.slice("right", F.lit(1), F.col("near")))
+    words = F.when(F.col("left").isNull(), F.col("b")).otherwise(near)
+    found = tokens.join(table, "r", "left").withColumn("common", F.when((size_b >= F.col("a")) & (bound >= F.col("a")), F.size(F.array_intersect(words, "tokens"))))
     good = F.col("common") >= F.col("a")
     out = found.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("places").alias("places"),

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -310,6 +311,22 @@ def test_licenses_against_all_templates(spark):
         assert got[k].labels == ",".join(sorted(want | own)), t
 
 
+def test_wrapped_notices(spark):
+    rng = random.Random(4)
+    rows, want = [], []
+    for label, t in licenses.TEMPLATES:
+        for width in (72, 30, 12):
+            before = " ".join(f"w{k}" for k in range(rng.randint(1, 40)))
+            lines = textwrap.wrap(f"{before}. {t.capitalize()}, and more words after it", width)
+            rows += ["\n".join(lines), "\r\n".join(f" * {x}" for x in lines), "\n\n".join(lines)]
+            want += [label] * 3
+    rows += ["Released under\n" + "far " * 40 + "\nthe MIT license", "Released under " + "far " * 5 + "\nthe MIT license", "the license\n\n"]
+    got = by_id(licenses.scan_licenses(frame(spark, rows)))
+    for k, t in enumerate(rows):
+        assert (want + [""] * 3)[k] in got[k].labels.split(","), t
+        assert k < len(want) or got[k].labels == "", t
+
+
 # ---- 6
 
 
