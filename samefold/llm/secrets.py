@@ -2,8 +2,10 @@
 
 The worklist starts with the text itself. From each layer it derives further ones: the layer with
 all its percent escapes decoded, with all its backslash and HTML character escapes decoded, and,
-for each long base64 token, that token's decoded bytes, decompressed where they carry the mark of
-gzip, zlib, bzip2 or xz (again until they don't). A layer joins the list only if the pair of its
+for each long base64 token, in one line or wrapped over several, that token's decoded bytes,
+decompressed where they carry the mark of gzip, zlib, bzip2 or xz (again until they don't). The
+bytes that escapes stand for are decompressed too. Bytes that aren't UTF-8 are read as Latin-1, and
+once more with the runs of two or four bytes a letter (UTF-16, UTF-32) narrowed. A layer joins the list only if the pair of its
 content and its place has not been seen, so chains that return to an earlier layer end, and the
 list runs dry at the fixpoint. Every layer keeps, for each of its characters, the range of source
 characters it came from; a match in a layer is reported as the smallest source range that covers it.
@@ -42,6 +44,19 @@ _ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines; its first line may hold little of it.
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]{16}))"
+    r"(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
+_GAP = re.compile(r"[\x20\t\r\n]+")
+#: Letters of four or two bytes, of which all but one are 0.
+_WIDE = re.compile(rb"(?:[\x01-\xff]\0\0\0){4,}|(?:\0\0\0[\x01-\xff]){4,}|(?:[\x01-\xff]\0){4,}|(?:\0[\x01-\xff]){4,}")
+#: One byte as an escape, and the marks of compression among decoded bytes.
+_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|&#x0{0,4}([0-9A-Fa-f]{1,2});|&#([0-9]{1,3});|\\([0abfnrtv\\'\"])")
+_SIMPLE = dict(zip("0abfnrtv\\'\"", "\0\a\b\f\n\r\t\v\\'\"", strict=True))
+_MARK = re.compile(r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|[\x08\x18\x28\x38\x48\x58\x68\x78][\0-\xff]")
+_NOT_BYTE = re.compile(r"[^\0-\xff]")
 #: A compressed token that unpacks to more bytes than this is a bomb and stays as it is.
 MAX_UNPACKED = 256 << 20
 
@@ -138,60 +153,140 @@ def _escape(m: re.Match):
     return [(chr(code), 0, len(m[0]))]
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """One compression layer less, or None if there is none (or it unpacks beyond MAX_UNPACKED)."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-        elif len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 <= 7 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            unpack = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            unpack = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            unpack = lzma.LZMADecompressor()
-        else:
-            return None
-        out = unpack.decompress(raw, MAX_UNPACKED)
-        return out if unpack.eof else None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
+def _unpacker(raw: bytes):
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 <= 7 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _readable(raw: bytes) -> str | None:
+def _inflated(raw: bytes) -> tuple[bytes, int] | None:
+    """One compression layer less and the bytes it took, all streams that follow one another
+    together, or None if there is none (or it unpacks beyond MAX_UNPACKED)."""
+    out, size, at = [], 0, 0
+    while (unpack := _unpacker(raw[at : at + 6])) is not None:
+        end, step = at, 4096
+        try:
+            while not unpack.eof and end < len(raw):  # in growing pieces: what is no stream ends early
+                part = unpack.decompress(raw[end : end + step], MAX_UNPACKED - size + 1)
+                out.append(part)
+                size += len(part)
+                if size > MAX_UNPACKED:
+                    return None
+                end, step = min(len(raw), end + step), step * 2
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        if not unpack.eof:
+            break
+        at, whole = end - len(unpack.unused_data), len(out)
+    return (b"".join(out[:whole]), at) if at else None
+
+
+def _texts(raw: bytes) -> list[tuple[str, list[int]]]:
+    """What bytes may say: texts, and where each character begins (and the last one ends)."""
+    if not raw:
+        return []
     try:
-        text = raw.decode()
+        text, at = raw.decode(), [0]
+        for c in text:
+            at.append(at[-1] + len(c.encode()))
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+        text, at = raw.decode("latin-1"), list(range(len(raw) + 1))
+    found = [(text, at)]
+    if b"\0" in raw and _WIDE.search(raw):
+        out, at, end = [], [], 0
+        for m in _WIDE.finditer(raw):
+            letters = m[0].replace(b"\0", b"")
+            out += [raw[end : m.start()], letters]
+            at += [*range(end, m.start()), *range(m.start(), m.end(), len(m[0]) // len(letters))]
+            end = m.end()
+        found.append((b"".join([*out, raw[end:]]).decode("latin-1"), [*at, *range(end, len(raw) + 1)]))
+    return found
 
 
 def _tokens(layer: Layer):
     """Decoded base64 tokens of a layer, through any compression: (text, pieces, how)."""
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    tokens = [(m, False) for m in _BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        tokens += [(m, True) for m in _WRAPPED.finditer(layer.text)]
+    for m, wrapped in tokens:
+        body, place = m[0].rstrip("="), None  # place: of each character of body in m[0]
+        if wrapped:
+            place, end = [], 0
+            for gap in _GAP.finditer(body):
+                place += range(end, gap.start())
+                end = gap.end()
+            place += range(end, len(body))
+            body = _GAP.sub("", body)
+        body = body.replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
-            continue
+            if not wrapped:
+                continue
+            body = body[:-1]  # the last line may run into other words
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
         how: tuple[str, ...] = ("base64",)
-        packed = raw
+        packed, end = raw, len(m[0])
+        if wrapped and (more := _inflated(raw)) is not None and (quads := -(-more[1] // 3) * 4) < len(body):
+            if place[quads - 1] < _GAP.search(m[0]).start():
+                continue  # it ends in the first line, a token of its own
+            end = place[quads - 1] + 1
         while (more := _inflated(packed)) is not None:
-            packed, how = more, (*how, "compressed")
-        text = _readable(packed)
-        if text is None:
+            packed, how = more[0], (*how, "compressed")
+        for text, at in _texts(packed):
+            if len(how) > 1:
+                pieces = [(0, *layer.source(m.start(), m.start() + end), False)]
+            else:  # three bytes for four characters: a character maps to the quads its bytes lie in
+                pieces = []
+                for i in range(len(text)):
+                    a, b = at[i] // 3 * 4, -(-at[i + 1] // 3) * 4
+                    if place is None:
+                        b = min(len(m[0]), b)
+                    else:
+                        a, b = place[a], place[min(b, len(place)) - 1] + 1
+                    pieces.append((i, *layer.source(m.start() + a, m.start() + b), False))
+            yield text, pieces, how
+
+
+def _byte(m: re.Match):
+    *hexes, decimal, simple = m.groups()
+    if simple is not None:
+        return [(_SIMPLE[simple], 0, len(m[0]))]
+    code = int(decimal) if decimal is not None else int(next(x for x in hexes if x is not None), 16)
+    return [(chr(code), 0, len(m[0]))] if code < 256 else None
+
+
+def _packed(layer: Layer):
+    """Compressed streams in the bytes that a layer's escapes stand for: (text, pieces, how)."""
+    if (new := _replaced(layer, _BYTE, _byte)) is None:
+        return
+    data, at = Layer(*new, ()), 0
+    while (m := _MARK.search(data.text, at)) is not None:
+        at = m.start() + 1
+        if len(m[0]) == 2 and (ord(m[0][0]) << 8 | ord(m[0][1])) % 31:
             continue
-        if len(how) > 1:
-            pieces = [(0, *layer.source(m.start(), m.end()), False)]
-        else:  # three bytes for four characters: a character maps to the quads its bytes lie in
-            pieces, at = [], 0
-            for i, c in enumerate(text):
-                n = len(c.encode())
-                a, b = at // 3 * 4, min(len(m[0]), -(-(at + n) // 3) * 4)
-                pieces.append((i, *layer.source(m.start() + a, m.start() + b), False))
-                at += n
-        yield text, pieces, how
+        stop = _NOT_BYTE.search(data.text, m.start())
+        end = stop.start() if stop else len(data.text)
+        # a failed try must not copy the whole rest: the first bytes show whether it is a stream
+        try:
+            _unpacker(data.text[m.start() : m.start() + 6].encode("latin-1")).decompress(data.text[m.start() : min(end, m.start() + 512)].encode("latin-1"), 1 << 16)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, AttributeError):
+            continue
+        more = _inflated(data.text[m.start() : end].encode("latin-1"))
+        if more is None:
+            continue
+        source = data.source(m.start(), m.start() + more[1])
+        at, how = m.start() + more[1], ("escape", "compressed")
+        packed = more[0]
+        while (more := _inflated(packed)) is not None:
+            packed, how = more[0], (*how, "compressed")
+        for text, _ in _texts(packed):
+            yield text, [(0, *source, False)], how
 
 
 def layers(text: str):
@@ -208,11 +303,13 @@ def layers(text: str):
         if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _escape)):
             todo.append(Layer(*new, (*layer.how, "unicode")))
         todo += [Layer(t, p, (*layer.how, *how)) for t, p, how in _tokens(layer)]
+        if "%" in layer.text or "\\" in layer.text or "&#" in layer.text:
+            todo += [Layer(t, p, (*layer.how, *how)) for t, p, how in _packed(layer)]
 
 
 def encoded(text: str) -> bool:
     """Whether any layer may lie under the text."""
-    return bool("%" in text or "\\" in text or "&#" in text or _BASE64.search(text))
+    return bool("%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or "\n" in text and _WRAPPED.search(text))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]], int]:

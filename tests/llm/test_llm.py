@@ -9,6 +9,7 @@ import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -83,6 +84,27 @@ def test_secret_layers():
     assert secrets.scan(None) == ([], set(), 0)
 
 
+def test_secret_layers_in_common_forms():
+    secret = 'password = "hunter2hunter2"'
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    wrap = lambda s, n=64: "\n".join(textwrap.wrap(s, n))
+    rng = random.Random(6)
+    long = " ".join(str(rng.random()) for _ in range(40)) + f" {secret} " + " ".join(str(rng.random()) for _ in range(40))
+    packed = gzip.compress(secret.encode())
+    forms = [b64(x) for x in (
+        f"\ufeff{secret}".encode(), f"a\u00a0page {secret}".encode(), f"\0\x1b{secret}".encode(), f"é {secret}".encode("latin-1"), secret.encode("utf-16"),
+        secret.encode("utf-16-be"), secret.encode("utf-32"), gzip.compress(f"\ufeff{secret}".encode()), gzip.compress(b"one ") + packed, packed + b"after",
+    )]
+    forms += [wrap(b64(pack(long.encode())), n) for pack in (gzip.compress, zlib.compress) for n in (64, 76)] + [wrap(b64(long.encode()), n) for n in (50, 64, 76)]
+    forms += ["".join(form % b for b in raw) for raw in (packed, zlib.compress(secret.encode())) for form in ("%%%02X", "\\x%02x", "&#%d;")]
+    forms += [repr(packed)[2:-1], quote(packed)]
+    for token in forms:
+        text = f"é before {token} \nafter"
+        base, found, _ = secrets.scan(text)
+        assert any(k == "assign" for k, *_ in found - set(base)), token
+        assert all(9 <= a < b <= 9 + len(token) for _, a, b in found - set(base)), token
+
+
 def test_secret_maps_exact_place():
     raw = "key is token:abcdef1234 here"
     b64 = base64.b64encode(raw.encode()).decode()
