@@ -53,10 +53,12 @@ def fps(spark: SparkSession, sf: str) -> DataFrame:
     return persisted(fingerprints.set_images(built, pics), "fingerprints")
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
+def requests(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Each fifth of the queries gives: a name; a name and brand; a GTIN within text; brand and part
-    number; a reference and attributes. Queries with a picture of their own carry its hash and vector."""
-    part = table(spark, sf, "part").where("p_partkey % 50 = 0")
+    number; a reference and attributes. Queries with a picture of their own carry its hash and vector.
+    With `whole` every part is a query."""
+    part = table(spark, sf, "part")
+    part = part if whole else part.where("p_partkey % 50 = 0")
     own = part_catalog(spark, sf).select(F.col("ref").alias("r"), "gtin", "mpn")
     df = part.join(own, F.col("p_partkey").cast("string") == F.col("r")).join(pictures(spark, sf), F.col("p_partkey") == F.col("vec_id"), "left")
     mode = (F.col("p_partkey") / 50).cast("int") % 5
@@ -110,7 +112,7 @@ def normalize_name_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_query(spark: SparkSession, sf: str) -> DataFrame:
-    out = parse.parse(requests(spark, sf), CONFIG)
+    out = parse.parse(requests(spark, sf, whole=True), CONFIG)
     return out.select("query_id", "gtin14", "gtin_trusted", "brand_norm", "mpn_norm", "sku", "name_norm", F.array_join("name_tokens", "|").alias("tokens"), F.col("weight").cast("double").alias("weight"))
 
 

@@ -308,3 +308,9 @@ def lookup_queries(spark):
     return queries.requests(spark, "/root/testdata/sf0.001").select("query_id").collect()
 
 
+def test_parse_query_takes_every_part(spark):
+    from samefold.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    parts = [r.p_partkey for r in queries.table(spark, sf, "part").select("p_partkey").collect()]
+    assert sorted(r.query_id for r in queries.parse_query(spark, sf).collect()) == sorted(parts)
