@@ -2,14 +2,19 @@
 
 Pieces of one length are interchangeable, so packing needs only how many pieces have each length:
 at most `size` numbers, whatever the corpus. The driver packs that histogram. Around the largest
-length left, bin completion enumerates undominated fillings of the rest of the bin, least waste
-first, and applies one as often as the counts allow; branch and bound backs up to other fillings
-while the bins used and the waste bound of what is left don't rule it out. The best-fit-decreasing
-packing is the first incumbent. The result is a list of patterns, each with a number of copies.
+length left, bin completion enumerates fillings of the rest of the bin, drops those that another one
+dominates (its lengths hold the other's lengths, each in one of them), and takes the rest with the
+least waste first, as often as the counts allow and then once. Branch and bound backs up to other
+fillings while the bins used and the waste bound of what is left don't rule them out. The
+best-fit-decreasing packing is the first incumbent. The result is a list of patterns, each with a
+number of copies.
 
 The pieces never meet in one place: each has a number among its length's pieces of its task, tasks'
 counts give it a rank among all pieces of its length, and the rank alone tells its pattern, copy and
-offset. The search effort (`NODES`) bounds the driver's time, never the input.
+offset. The search effort bounds the driver's time, never the input: `NODES` nodes and `PER_LENGTH`
+more for each length that occurs, so that many dives end; at a node, `WIDTH` fillings out of `STEPS`
+steps. A search that ends early keeps the best packing met; the columns n_sequences and
+least_sequences (no packing has fewer) tell how far from proven it is.
 
 Null and empty texts are one piece that holds the closing id. With no rows there are no sequences.
 Repeated rows are packed as often as they occur.
@@ -32,9 +37,10 @@ from samefold.llm.common import arrow_map, documents, small_batches, staged
 from samefold.llm.tokens import Coder
 
 SIZE = 2048
-NODES = 4_000
-#: Fillings tried at a node, and steps of the search for one.
-WIDTH, STEPS = 3, 600
+#: Nodes of the search: so many, and so many more for each length that occurs.
+NODES, PER_LENGTH = 4_000, 6
+#: Fillings tried at a node, and steps of the search for them.
+WIDTH, STEPS = 4, 800
 
 
 def default_path() -> str:
@@ -48,7 +54,9 @@ def default_path() -> str:
 
 def lower_bound(counts: np.ndarray, size: int) -> int:
     """No packing has fewer bins: for each a, what is over half must be apart, and lengths from a to
-    half a bin only get what room those leave that pair with lengths of a and more."""
+    half a bin only get what room those leave that pair with lengths of a and more; and for each k,
+    with k + 1 lengths of over 1 / (k + 1) of a bin never together, a length x weighs
+    floor((k + 1) x / size) / k, or x / size where that division leaves nothing."""
     n = np.arange(len(counts))
     best = -(-int((counts * n).sum()) // size)
     cum_n, cum_s = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(counts * n)))
@@ -58,9 +66,37 @@ def lower_bound(counts: np.ndarray, size: int) -> int:
         mid_n, mid_s = int(cum_n[size - a + 1] - cum_n[half + 1]), int(cum_s[size - a + 1] - cum_s[half + 1])
         small = int(cum_s[half + 1] - cum_s[a])
         best = max(best, top + mid_n + max(0, -(-(small - (mid_n * size - mid_s)) // size)))
+    for k in range(1, 33):
+        whole, rest = np.divmod((k + 1) * n, size)
+        weight = np.where(rest == 0, n * k, whole * size)  # times k * size
+        best = max(best, -(-int((counts * weight).sum()) // (k * size)))
     return best
 
 
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether b's lengths fit into a's lengths, each whole in one of them."""
+    if sum(b) > sum(a) or not b:
+        return not b
+    room, todo = sorted(a, reverse=True), sorted(b, reverse=True)
+    if todo[0] > room[0]:
+        return False
+
+    def put(k: int) -> bool:
+        if k == len(todo):
+            return True
+        tried = set()
+        for j, r in enumerate(room):
+            if todo[k] <= r and r not in tried:
+                tried.add(r)
+                room[j] -= todo[k]
+                if put(k + 1):
+                    return True
+                room[j] += todo[k]
+        return False
+
+    return put(0) if len(todo) <= 8 else tuple(a) == tuple(b)  # a long filling counts as undominated
+
+
 def best_fit(counts: np.ndarray, size: int) -> list[tuple[int, tuple[int, ...]]]:
     """Best-fit decreasing on the histogram: patterns (copies, lengths)."""
     room: dict[int, dict[tuple[int, ...], int]] = {}  # room left -> patterns open with it
@@ -99,8 +135,8 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[int, tuple[int, ...]]]
 
 
 def fillings(rest: int, counts: np.ndarray, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Fillings of `rest`, least waste first. Lengths fall within a filling, and larger lengths come
-    first, so a filling found early isn't dominated by one that splits its lengths."""
+    """Undominated fillings of `rest` among those the search meets, least waste first. Lengths fall
+    within a filling, and larger lengths come first."""
     found: list[tuple[int, tuple[int, ...]]] = []
     if rest > 0 and rest < len(counts) and counts[rest]:
         found.append((0, (rest,)))
@@ -137,11 +173,18 @@ def fillings(rest: int, counts: np.ndarray, width: int = WIDTH) -> list[tuple[in
 
         search(rest, 0, ())
     found.sort(key=lambda f: f[0])
-    return list(dict.fromkeys(c for _, c in found))[:width]
+    kept: list[tuple[int, ...]] = []
+    for c in dict.fromkeys(c for _, c in found):
+        if not any(dominates(k, c) for k in kept):
+            kept.append(c)
+            if len(kept) == width:
+                break
+    return kept
 
 
-def pack(histogram: dict[int, int], size: int = SIZE, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
+def pack(histogram: dict[int, int], size: int = SIZE, nodes: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """Patterns (copies, lengths) that hold every piece, in as few bins as the search can prove or find."""
+    nodes = NODES + PER_LENGTH * len(histogram) if nodes is None else nodes
     counts = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         counts[length] += n
@@ -159,12 +202,16 @@ def pack(histogram: dict[int, int], size: int = SIZE, nodes: int = NODES) -> lis
         """Children of a node: (copies, pattern), most promising first."""
         top = int(np.flatnonzero(left)[-1])
         left[top] -= 1
-        fills = fillings(size - top, left)
+        fills, once = fillings(size - top, left), []
         left[top] += 1
         for fill in fills or [()]:
             pattern = (top, *fill)
             times = Counter(pattern)
-            yield min(int(left[a]) // k for a, k in times.items()), pattern
+            most_copies = min(int(left[a]) // k for a, k in times.items())
+            yield most_copies, pattern
+            if most_copies > 1:
+                once.append(pattern)
+        yield from ((1, pattern) for pattern in once)
 
     stack = [(counts.copy(), 0, grow(counts.copy()), None)]
     spent = 0
@@ -237,12 +284,23 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
+def least_bins(histogram: dict[int, int], size: int = SIZE) -> int:
+    counts = np.zeros(size + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] += n
+    full, counts[size] = int(counts[size]), 0
+    return full + lower_bound(counts, size)
+
+
 def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences: one
+    row for each piece; the last two are the same in all rows."""
     cut = staged(pieces(docs, path, size), "pieces")
     counts = staged(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= size rows
-    place = slots(pack(histogram, size))
+    patterns = pack(histogram, size)
+    place, used = slots(patterns), sum(n for n, _ in patterns)
+    least = least_bins(histogram, size)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     ranked = cut.join(first, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("seq")).alias("rank"))
@@ -258,7 +316,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -
             sequence[at], offset[at] = row[:, 1] + k // row[:, 2], row[:, 3] + k % row[:, 2] * n
         return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return arrow_map(ranked, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", one)
+    out = arrow_map(ranked, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", one)
+    return out.withColumns({"n_sequences": F.lit(used).cast("long"), "least_sequences": F.lit(least).cast("long")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
