@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch: a batch of long texts stays within tens of megabytes.
 BATCH_ROWS = 512
@@ -43,7 +45,25 @@ def spaced_words(data: bytes) -> list[bytes]:
     return data.split()
 
 
-def arrow_map(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns inside one column __x, where no name of theirs can meet
+    one that an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(True)).alias("__x"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the table that packed() was given."""
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("__x").getField(c).alias(c) for c in columns))
+
+
+def fields(ddl: str, df: DataFrame, *columns: str) -> StructType:
+    """A schema: the fields of ddl, then columns of df."""
+    out = StructType.fromDDL(ddl)
+    return StructType([*out.fields, *(df.schema[c] for c in columns)])
+
+
+def arrow_map(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """mapInArrow with one function call for each batch; empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

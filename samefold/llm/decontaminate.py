@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samefold.llm.common import _FOLD, arrow_map, documents, folded_words, staged, table, utf8
+from samefold.llm.common import _FOLD, arrow_map, documents, fields, folded_words, packed, staged, table, unpacked, utf8
 
 WINDOW = 8
 SHARD_WORDS = 200_000
@@ -211,8 +211,7 @@ def _match(docs: DataFrame, items, window: int, keep_text: bool, extra: list[str
         more = [batch.column(k) for k in range(1 if keep_text else 2, batch.num_columns)]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols, *more], [*list(_COLUMNS)[:5], *(["text"] if keep_text else []), *extra])
 
-    types = dict(docs.dtypes)
-    schema = _MATCHES + (", text string" if keep_text else "") + "".join(f", `{c}` {types[c]}" for c in extra)
+    schema = fields(_MATCHES + (", text string" if keep_text else ""), docs, *extra)
     return arrow_map(docs.select("doc_id", "text", *extra), schema, one)
 
 
@@ -258,18 +257,16 @@ def with_hits(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, bench: DataFrame, max_coverage: float = 0.5, max_items: int = 1, window: int = WINDOW) -> DataFrame:
     """docs without what they share with the benchmark: a text with windows of over `max_items`
     items, or hit in over `max_coverage` of its words, goes; from others the hit spans are cut out."""
-    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = with_hits(match(docs, bench, window, keep_text=True, extra=extra))
+    columns, docs = docs.columns, packed(docs)
+    found = with_hits(match(docs, bench, window, keep_text=True, extra=("__x",)))
     kept = found.where((F.size("items") <= max_items) & (F.col("n_hit") <= max_coverage * F.col("n_words")))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         cut = [without(t, list(zip(s[::2], s[1::2], strict=True))) if s else t for s, t in zip(spans, texts, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string()), *(batch.column(k) for k in range(3, batch.num_columns))], ["doc_id", "text", *extra])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string()), batch.column(3)], ["doc_id", "text", "__x"])
 
-    types = dict(docs.dtypes)
-    out = arrow_map(kept.select("doc_id", "spans", "text", *extra), "doc_id long, text string" + "".join(f", `{c}` {types[c]}" for c in extra), one)
-    return out.select(*docs.columns)
+    return unpacked(arrow_map(kept.select("doc_id", "spans", "text", "__x"), fields("doc_id long, text string", docs, "__x"), one), columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

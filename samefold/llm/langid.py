@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samefold.llm.common import arrow_map, documents, small_batches
+from samefold.llm.common import arrow_map, documents, fields, packed, small_batches, unpacked
 
 DIM = 1024
 #: Trigram vectors that a worker keeps (one byte for each dimension).
@@ -168,8 +168,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
         more = [batch.column(2 + k) for k in range(len(keep))]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(names), pa.array(scores, pa.float64()), *more], ["doc_id", "__lang", "__score", *keep])
 
-    types = dict(docs.dtypes)
-    schema = "doc_id long, __lang string, __score double" + "".join(f", `{c}` {types[c]}" for c in keep)
+    schema = fields("doc_id long, __lang string, __score double", docs, *keep)
     out = arrow_map(docs.select("doc_id", "text", *keep), schema, one)
     return out.withColumnsRenamed({"__lang": "lang_pred", "__score": "score"}) if not keep else out
 
@@ -217,6 +216,5 @@ def recognised(docs: DataFrame) -> DataFrame:
     """docs without the rows that have no letter or no recognisable language. The prototypes are
     learned from all rows of docs whose lang isn't null."""
     sums = _sums(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), DIM)
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    scored = predict(docs, {lang: v[:-1] for lang, v in sums.items()}, keep=("text", *extra), fit=fits(sums))
-    return scored.where(F.col("__lang") != "und").select(*docs.columns)
+    scored = predict(packed(docs), {lang: v[:-1] for lang, v in sums.items()}, keep=("text", "__x"), fit=fits(sums))
+    return unpacked(scored.where(F.col("__lang") != "und"), docs.columns)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samefold.llm.common import arrow_map, documents, small_batches, staged, utf8
+from samefold.llm.common import arrow_map, documents, fields, packed, small_batches, staged, unpacked, utf8
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -178,16 +178,14 @@ def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the repeated lines taken out of text; all other columns as they were."""
+    columns, docs = docs.columns, packed(docs)
     found = with_bitmaps(docs, min_chars, min_docs)
-    extra = [c for c in docs.columns if c != "text"]
-    types = dict(docs.dtypes)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [kept_text(t, m) for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(batch.column(k) for k in range(2, batch.num_columns))], ["text", *extra])
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2), batch.column(3)], ["text", "doc_id", "__x"])
 
-    out = arrow_map(found.select("text", "__bitmap", *extra), "text string" + "".join(f", `{c}` {types[c]}" for c in extra), one)
-    return out.select(*docs.columns)
+    return unpacked(arrow_map(found.select("text", "__bitmap", "doc_id", "__x"), fields("text string", docs, "doc_id", "__x"), one), columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

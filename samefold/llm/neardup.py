@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samefold.llm.common import arrow_map, documents, folded_words, small_batches, staged
+from samefold.llm.common import arrow_map, documents, folded_words, packed, small_batches, staged, unpacked
 from samefold.llm.graph import components
 from samefold.llm.linededup import _LOWEST, keyed
 
@@ -427,8 +427,8 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each class: that with the smallest id. Texts without shingles stay."""
     found = classes(docs, threshold)
     gone = found.where((F.col("ord") != F.col("class_ord")) | (F.col("th") != F.col("class_th"))).select(F.col("ord").alias("__ord"), F.col("th").alias("__th"), F.lit(True).alias("__gone")).distinct()
-    kept = keyed(docs).join(gone.hint("shuffle_hash"), ["__ord", "__th"], "left").where("__gone IS NULL").drop("__gone")
-    return kept.dropDuplicates(["__ord", "__th"]).select(*docs.columns)  # partitioned so already
+    kept = keyed(packed(docs)).join(gone.hint("shuffle_hash"), ["__ord", "__th"], "left").where("__gone IS NULL").drop("__gone")
+    return unpacked(kept.dropDuplicates(["__ord", "__th"]), docs.columns)  # partitioned so already
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

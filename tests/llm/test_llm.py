@@ -565,3 +565,37 @@ def test_pipeline_stages_keep_columns(spark, docs):
 
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+#: Every column name that a stage makes for itself, and some that need quoting.
+CLASHES = """n_words spans items longest n_hit __ord __th __n __bitmap __gone __lang __score __id __t __text n_dropped bitmap h1 h2 ord th lines kind n tree path deep
+fp bits sig label block n_blocks root n_links node a b rep n_copies class_ord class_th class_id lang_pred score piece start length part seq first rank sequence_id offset
+__x __y doc text_ a.b""".split()
+
+
+def test_pipeline_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(k, t, "en", f"{k}") for k, t in enumerate(texts())] + [(99, "Words before one two three four five six seven eight nine and after it, in a line of many.", "en", "99")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, tag string").repartition(3)
+    plain = df.select("doc_id", "text", "lang", "tag")
+    wide = df.select("doc_id", *(df.tag.alias(c) for c in CLASHES), "text", "lang", "tag")
+    for _, stage in corpus_pipeline.STAGES:
+        out, want = (stage(spark, d, str(tmp_path)) for d in (wide, plain))
+        if "text" not in out.columns:
+            assert sorted(map(tuple, out.collect())) and out.count() == want.count()
+            break
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert sorted((r.doc_id, r.text or "") for r in got) == sorted((r.doc_id, r.text or "") for r in want.collect())
+        assert all(r[c] == str(r.doc_id) for r in got for c in CLASHES)
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
