@@ -17,7 +17,7 @@ from samefold.llm.common import documents, staged, table
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.select(*columns)
+    return docs.select(*(f"`{c}`" for c in columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
