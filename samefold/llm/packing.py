@@ -303,7 +303,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -
     least = least_bins(histogram, size)
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
-    ranked = cut.join(first, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("seq")).alias("rank"))
+    # counts by (length, part) grow with the tasks, so neither side is broadcast
+    ranked = cut.join(first.hint("shuffle_hash"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("seq")).alias("rank"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
