@@ -21,8 +21,6 @@ class EngineConfig:
     max_limit: int = 20
     image_enabled: bool = True
     embedding: dict = field(default_factory=lambda: {"provider": "none"})
-    #: Queries whose vectors go to every task at once; more are taken in blocks of this size.
-    vector_block: int = 2048
 
     @property
     def model_id(self) -> str:

@@ -29,6 +29,16 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, float4(common / union)).otherwise(F.lit(0.0))
 
 
+def name_similarity(query: Column, name: Column, brand: Column) -> Column:
+    """The better of the query name as it is and without the row's own brand."""
+    asked, own = trigrams(query), trigrams(name)
+    raw = set_similarity(own, asked)
+    bare = set_similarity(own, trigrams(without_brand(query, brand)))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    branded = (brand != "") & pad(query).contains(pad(brand))
+    return F.when(query == "", F.lit(0.0)).when(branded, F.greatest(raw, bare)).otherwise(raw)
+
+
 def without_brand(text: Column, brand: Column) -> Column:
     """text, padded, without brand as whole words: what indexing did to a row's own name."""
     return F.replace(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), brand, F.lit(" ")), F.lit(" "))
@@ -45,7 +55,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(1.0)).otherwise(dot(a, b) / norm)
 
 
-def _padded_trigrams(text: str) -> list[str]:
+def padded_trigrams(text: str) -> list[str]:
+    """trigrams() in order, repeated ones too."""
     out, word = [], []
     for c in text.lower() + " ":
         if c.isalnum():
@@ -57,22 +68,29 @@ def _padded_trigrams(text: str) -> list[str]:
     return out
 
 
-def word_similarity_of(query: str, text: str) -> float:
-    """The largest |Q & E| / |Q | E| over runs E of the text's trigrams in order."""
-    q, seq = set(_padded_trigrams(query)), _padded_trigrams(text)
+def run_similarity(q: frozenset[str], seq: list[str]) -> float:
+    """The largest |q & E| / |q | E| over runs E of seq."""
     at = [i for i, g in enumerate(seq) if g in q]
     best = 0.0
     for i, lo in enumerate(at):  # a best run begins and ends with a common trigram
+        if (len(at) - i) / len(q) <= best:
+            break
         common, others = set(), set()
         end = lo
         for hi in at[i:]:
-            others.update(g for g in seq[end : hi + 1] if g not in q)
+            others.update(seq[end:hi])
             common.add(seq[hi])
             end = hi + 1
             best = max(best, len(common) / (len(q) + len(others)))
     return float(np.float32(best))
 
 
+def word_similarity_of(query: str, text: str) -> float:
+    """The largest |Q & E| / |Q | E| over runs E of the text's trigrams in order."""
+    q = frozenset(padded_trigrams(query))
+    return run_similarity(q, padded_trigrams(text)) if q else 0.0
+
+
 def _lcs(a: str, b: str) -> int:
     """Longest common subsequence, bit-parallel."""
     masks: dict[str, int] = {}
@@ -104,11 +122,6 @@ def token_set_ratio_of(a: str, b: str) -> float:
     return best
 
 
-@pandas_udf(DoubleType())
-def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([word_similarity_of(q or "", t or "") for q, t in zip(query, text, strict=True)], dtype="float64")
-
-
 @pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio_of(p or "", q or "") for p, q in zip(a, b, strict=True)], dtype="float64")

@@ -46,7 +46,8 @@ def _class(chars) -> str:
 
 def _expanded(c: Column, odd: str, several: dict[str, str]) -> Column:
     """Each character that folds to several ones written out: one pass for each distinct one there is."""
-    pairs = F.create_map(*(F.lit(x) for kv in several.items() for x in kv))
+    # one literal that the optimizer folds to a map, not thousands of them
+    pairs = F.str_to_map(F.lit("\1".join(f"{k}\2{v}" for k, v in several.items())), F.lit("\1"), F.lit("\2"))
     return F.aggregate(F.array_distinct(F.regexp_extract_all(c, F.lit(odd), F.lit(0))), c, lambda s, k: F.replace(s, k, F.coalesce(F.try_element_at(pairs, k), F.lit(""))))
 
 

@@ -7,16 +7,15 @@ its first `candidate_limit` pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samefold.config import EngineConfig
-from samefold.functions.similarity import float4, hamming, set_similarity, trigrams, without_brand, word_similarity
-from samefold.storage import persisted
+from samefold.functions.similarity import hamming, name_similarity
+from samefold.operators import scans
 
 TRIGRAM_FLOOR = 0.35
 RAW_FLOOR = 0.3
@@ -35,22 +34,10 @@ def _ranked(df: DataFrame, leg: int, order: list, limit) -> DataFrame:
     return out.where(F.col("place") <= limit).select(*PAIR, F.lit(leg).alias("leg"), "place")
 
 
-def similarities(pairs: DataFrame, queries: DataFrame, fps: DataFrame) -> DataFrame:
-    """pairs with name_similarity: the better of the query name as it is and without the row's own brand."""
-    q = queries.select("query_id", F.col("name_norm").alias("__q"), trigrams(F.col("name_norm")).alias("__qt"))
-    f = fps.select("kind", "ref", F.col("brand_norm").alias("__b"), trigrams(F.col("name_norm")).alias("__ft"))
-    both = pairs.join(q, "query_id").join(f, ["kind", "ref"])
-    raw = set_similarity(F.col("__ft"), F.col("__qt"))
-    bare = set_similarity(F.col("__ft"), trigrams(without_brand(F.col("__q"), F.col("__b"))))
-    branded = (F.col("__b") != "") & F.concat(F.lit(" "), "__q", F.lit(" ")).contains(F.concat(F.lit(" "), "__b", F.lit(" ")))
-    sim = F.when(F.col("__q") == "", F.lit(0.0)).otherwise(F.greatest(raw, F.when(branded, bare).otherwise(raw)))
-    return both.withColumns({"name_similarity": sim, "raw_similarity": raw}).drop("__q", "__qt", "__b", "__ft")
-
-
 def exact(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
     """Three equi-joins: GTIN, brand and part number, reference."""
-    q = queries.select("query_id", "scope", *(F.col(c).alias(f"q_{c}") for c in ("gtin14", "brand_norm", "mpn_norm", "sku")))
-    keys = fps.select("kind", "ref", "gtin14", "brand_norm", "mpn_norm")
+    q = queries.select("query_id", "scope", *(F.col(c).alias(f"q_{c}") for c in ("gtin14", "brand_norm", "mpn_norm", "sku", "name_norm")))
+    keys = fps.select("kind", "ref", "gtin14", "brand_norm", "mpn_norm", "name_norm")
     legs = [
         q.where("q_gtin14 <> ''").join(keys.where("gtin14 <> ''"), F.col("q_gtin14") == F.col("gtin14")),
         q.where("q_brand_norm <> '' AND q_mpn_norm <> ''").join(keys.where("mpn_norm <> ''"), (F.col("q_mpn_norm") == F.col("mpn_norm")) & (F.col("q_brand_norm") == F.col("brand_norm"))),
@@ -59,113 +46,61 @@ def exact(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame
     rank = F.when((F.col("q_gtin14") != "") & (F.col("q_gtin14") == F.col("gtin14")), 0).when((F.col("q_mpn_norm") != "") & (F.col("q_mpn_norm") == F.col("mpn_norm")), 1).otherwise(2)
     found = None
     for leg in legs:
-        one = _in_scope(leg).select(*PAIR, rank.alias("rank"))
+        one = _in_scope(leg).select(*PAIR, rank.alias("rank"), "q_name_norm", "name_norm", "brand_norm")
         found = one if found is None else found.unionByName(one)
-    found = similarities(found.groupBy(*PAIR).agg(F.min("rank").alias("rank")), queries, fps)
+    found = found.groupBy(*PAIR).agg(F.min("rank").alias("rank"), *(F.first(c).alias(c) for c in ("q_name_norm", "name_norm", "brand_norm")))
+    found = found.withColumn("name_similarity", name_similarity(F.col("q_name_norm"), F.col("name_norm"), F.col("brand_norm")))
     return _ranked(found, EXACT, ["rank", F.desc("name_similarity")], config.candidate_limit)
 
 
+#: Keys that a query's hash may be looked up under.
+MOST_PROBES = 1024
+
+
+def _banding(most: int) -> tuple[int, int]:
+    """Into how many bands to cut 64 bits, and within how many bits of a query's band to look: of two
+    hashes that differ in `most` bits, one of n bands differs in most // n at most. Of the choices with
+    at most MOST_PROBES keys for a query, the one that meets the smallest share of chance pairs."""
+    probes = lambda n: n * sum(comb(-(-64 // n), r) for r in range(most // n + 1))
+    fits = [n for n in range(1, 33) if probes(n) <= MOST_PROBES] or [32]
+    n = min(fits, key=lambda n: (probes(n) / 2.0 ** (64 // n), n))
+    return n, most // n
+
+
 def _bands(c, n: int):
-    """64 bits in n bands; two hashes that differ in fewer than n bits agree in a band."""
     edges = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(c, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    width = lambda a, b: F.lit(-1 if b - a == 64 else (1 << (b - a)) - 1).cast("long")
+    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(c, a).bitwiseAND(width(a, b)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
 
 
 def near_hash(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
-    n = config.phash_max_distance + 1
-    q = queries.where("phash IS NOT NULL").select("query_id", "scope", F.col("phash").alias("q_phash"), F.explode(_bands(F.col("phash"), n)).alias("b"))
+    """Rows are keyed by their bands as they are; a query probes each band's near values. So the large
+    side has few keys a row, and each is as wide as the distance allows."""
+    n, radius = _banding(config.phash_max_distance)
+    width = -(-64 // n)
+    masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+    probes = F.flatten(F.transform(_bands(F.col("phash"), n), lambda b: F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.struct(b["band"].alias("band"), b["bits"].bitwiseXOR(m).alias("bits")))))
+    q = queries.where("phash IS NOT NULL").select("query_id", "scope", F.col("phash").alias("q_phash"), F.explode(probes).alias("b"))
     f = fps.where("phash IS NOT NULL").select("kind", "ref", "phash", F.explode(_bands(F.col("phash"), n)).alias("b"))
     found = _in_scope(q.join(f, "b")).withColumn("distance", hamming(F.col("q_phash"), F.col("phash"))).where(F.col("distance") <= config.phash_max_distance)
     return _ranked(found.groupBy(*PAIR).agg(F.min("distance").alias("distance")), HASH, ["distance"], config.image_top_k)
 
 
-def text_pairs(queries: DataFrame, fps: DataFrame) -> DataFrame:
-    """Pairs that share enough trigrams for either text leg, each once, with both similarities.
-
-    Either leg needs 0.3 of the query's trigrams to be common (the trigram leg: k / (m + n - k) >= 0.3
-    with n >= k; the word leg needs 0.6). So only a query's rarest trigrams are looked up: of m, all
-    but the 0.3 m - 1 most frequent. Frequent trigrams of the catalog stay untouched."""
-    rows = fps.where("name_norm <> ''").select("kind", "ref", F.explode(trigrams(F.col("name_norm"))).alias("g"))
-    q = queries.where("length(name_norm) >= 3").select("query_id", "scope", trigrams(F.col("name_norm")).alias("gs"))
-    probes = q.select("query_id", "scope", F.size("gs").alias("m"), F.explode("gs").alias("g"))
-    # the catalog's counts of just the queries' trigrams
-    counts = rows.join(probes.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("query_id").orderBy("df", "g")
-    rare = probes.join(counts, "g", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("k", F.row_number().over(order))
-    rare = rare.where(F.col("k") <= F.col("m") - F.ceil(F.col("m") * RAW_FLOOR - 1e-9) + 1)
-    pairs = _in_scope(rare.join(rows, "g")).select(*PAIR).distinct()
-    return similarities(pairs, queries, fps)
-
-
-def by_trigram(pairs: DataFrame, config: EngineConfig) -> DataFrame:
-    found = pairs.where((F.col("raw_similarity") >= float4(F.lit(RAW_FLOOR))) & (F.col("name_similarity") >= TRIGRAM_FLOOR))
-    return _ranked(found, TRIGRAM, [F.desc("name_similarity")], config.trigram_limit)
-
-
-def by_words(pairs: DataFrame, queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
-    q = queries.where("size(name_tokens) >= 2").select("query_id", F.col("name_norm").alias("__q"), trigrams(F.col("name_norm")).alias("__qt"))
-    f = fps.select("kind", "ref", F.col("name_norm").alias("__f"), trigrams(F.col("name_norm")).alias("__ft"))
-    both = pairs.select(*PAIR).join(q, "query_id").join(f, ["kind", "ref"])
-    both = both.where(F.size(F.array_intersect("__qt", "__ft")) >= F.size("__qt") * WORD_FLOOR - 1e-6)  # what the measure needs at least
-    found = both.withColumn("ws", word_similarity("__q", "__f")).where(F.col("ws") >= float4(F.lit(WORD_FLOOR)))
-    return _ranked(found, WORD, [F.desc("ws")], config.word_limit)
-
-
-def _top_k(fps: DataFrame, block: list[tuple], k: int) -> DataFrame:
-    """Exact nearest rows of a block of queries (query_id, model, scope, unit vector) by cosine: one
-    matrix product for each batch of rows, and k rows of each task."""
-    sent = fps.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = sent.value
-        best: list[list[tuple]] = [[] for _ in block]
-        for batch in batches:
-            kinds, refs, models, vectors = (c.to_pylist() for c in batch.columns)
-            for dim in {len(v) for v in vectors}:
-                at = [i for i, v in enumerate(vectors) if len(v) == dim]
-                m = np.array([vectors[i] for i in at], np.float64)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-                for j, (_, model, scope, v) in enumerate(block):
-                    if len(v) != dim:
-                        continue
-                    d = 1 - m @ v
-                    ok = [p for p, i in enumerate(at) if models[i] == model and kinds[i] in scope]
-                    if len(ok) > k:  # all rows up to the k-th distance, ties included
-                        far = np.partition(d[ok], k - 1)[k - 1]
-                        ok = [p for p in ok if d[p] <= far]
-                    rows = [(float(d[p]), kinds[at[p]], refs[at[p]]) for p in ok]
-                    best[j] = sorted(best[j] + rows)[:k]
-        out = [(block[j][0], kind, ref, d) for j, rows in enumerate(best) for d, kind, ref in rows]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.float64()), strict=True)], ["query_id", "kind", "ref", "distance"])
-
-    rows = fps.where("image_vec IS NOT NULL").select("kind", "ref", "vec_model", "image_vec")
-    return rows.mapInArrow(run, "query_id long, kind string, ref string, distance double")
+def by_text(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
+    """The trigram leg and the word leg, from one scan of the names."""
+    found = scans.by_name(queries, fps, (TRIGRAM, WORD), (RAW_FLOOR, TRIGRAM_FLOOR, WORD_FLOOR), (config.trigram_limit, config.word_limit))
+    legs = [_ranked(found.where(F.col("leg") == leg), leg, ["measure"], limit) for leg, limit in ((TRIGRAM, config.trigram_limit), (WORD, config.word_limit))]
+    return legs[0].unionByName(legs[1])
 
 
 def near_vector(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
-    """Query vectors go out in blocks of `vector_block`, so what a task holds is bounded; every row
-    is compared with every query of its model, and only k rows for each query leave a task."""
-    block, parts = [], []
-    for r in queries.where("image_vec IS NOT NULL").select("query_id", "model_id", "scope", "image_vec").toLocalIterator():
-        v = np.array(r.image_vec, np.float64)
-        block.append((r.query_id, r.model_id, set(r.scope), v / max(np.linalg.norm(v), 1e-30)))
-        if len(block) == config.vector_block:
-            parts.append(_top_k(fps, block, config.image_top_k))
-            block = []
-    if block or not parts:
-        parts.append(_top_k(fps, block, config.image_top_k))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return _ranked(found, VECTOR, ["distance"], config.image_top_k)
+    return _ranked(scans.by_vector(queries, fps, VECTOR, config.image_top_k), VECTOR, ["measure"], config.image_top_k)
 
 
 def candidates(queries: DataFrame, fps: DataFrame, config: EngineConfig | None = None, limit: int | None = None, image: bool = True) -> DataFrame:
     """query_id, kind, ref, leg, place, pool_rank: the pool of each query."""
     config = config or EngineConfig()
-    pairs = persisted(text_pairs(queries, fps), "text-pairs")  # two legs read it
-    legs = [exact(queries, fps, config), by_trigram(pairs, config), by_words(pairs, queries, fps, config)]
+    legs = [exact(queries, fps, config), by_text(queries, fps, config)]
     if image and config.image_enabled:
         legs += [near_hash(queries, fps, config), near_vector(queries, fps, config)]
     pool = legs[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from samefold.config import MATCH, NO_MATCH, REVIEW, EngineConfig
+from samefold.functions.similarity import name_similarity
 from samefold.operators import blocking, scoring
 
 _Q = ["gtin14", "gtin_trusted", "brand_norm", "mpn_norm", "sku", "name_norm", "name_tokens", "pack_qty", "color", "size", "weight", "width", "height", "deep", "phash", "image_vec", "model_id"]
@@ -23,8 +24,9 @@ def scored(queries: DataFrame, fps: DataFrame, config: EngineConfig | None = Non
     """The pool of each query, scored."""
     config = config or EngineConfig()
     pool = blocking.candidates(queries, fps, config, limit)
-    pairs = blocking.similarities(pool, queries, fps)
-    return scoring.score(with_sides(pairs, queries, fps), config)
+    pairs = with_sides(pool, queries, fps)
+    similar = name_similarity(F.col("q_name_norm"), F.col("c_name_norm"), F.col("c_brand_norm"))
+    return scoring.score(pairs.withColumn("name_similarity", similar), config)
 
 
 def _cut(df: DataFrame, queries: DataFrame, order: list) -> DataFrame:

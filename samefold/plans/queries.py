@@ -17,7 +17,7 @@ from samefold.functions import identifiers, names, similarity, text
 from samefold.operators import blocking
 from samefold.plans import decisions, evaluate, fingerprints, lookup, parse
 from samefold.sources.catalog import CatalogSource, Registry, part_catalog
-from samefold.storage import persisted, scratch
+from samefold.storage import persisted, scratch, spread
 from samefold.streaming.refresh import latest
 
 PIM, ATLAS = KINDS
@@ -47,18 +47,30 @@ def pictures(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", signs.alias("phash"), "embedding")
 
 
-def fps(spark: SparkSession, sf: str) -> DataFrame:
+def build_fps(spark: SparkSession, sf: str) -> DataFrame:
     built = fingerprints.build(registry(sf).items(spark))
     pics = pictures(spark, sf).select(F.lit(PIM).alias("kind"), F.col("vec_id").cast("string").alias("ref"), "phash", F.col("embedding").alias("image_vec"), F.lit("m64").alias("vec_model"), F.lit("").alias("image_sha1"))
     return persisted(fingerprints.set_images(built, pics), "fingerprints")
 
 
+_SNAPSHOTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def fps(spark: SparkSession, sf: str) -> DataFrame:
+    """The fingerprint table that lookups read. As in a deployment it is there before they come: the
+    first query of a session that needs it builds it, later ones read it. `fingerprint_build` builds anew."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SNAPSHOTS:
+        _SNAPSHOTS[key] = build_fps(spark, sf)
+    return _SNAPSHOTS[key]
+
+
 def requests(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Each fifth of the queries gives: a name; a name and brand; a GTIN within text; brand and part
     number; a reference and attributes. Queries with a picture of their own carry its hash and vector.
     With `whole` every part is a query."""
     part = table(spark, sf, "part")
-    part = part if whole else part.where("p_partkey % 50 = 0")
+    part = spread(part) if whole else part.where("p_partkey % 50 = 0")
     own = part_catalog(spark, sf).select(F.col("ref").alias("r"), "gtin", "mpn")
     df = part.join(own, F.col("p_partkey").cast("string") == F.col("r")).join(pictures(spark, sf), F.col("p_partkey") == F.col("vec_id"), "left")
     mode = (F.col("p_partkey") / 50).cast("int") % 5
@@ -85,28 +97,28 @@ def queries_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normalize_gtin(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), (F.col("p_partkey") * 7919 + 20000000).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "-1234").otherwise("")).alias("raw"))
+    df = spread(table(spark, sf, "part")).select("p_partkey", F.concat(F.lit(" "), (F.col("p_partkey") * 7919 + 20000000).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "-1234").otherwise("")).alias("raw"))
     return df.select("p_partkey", identifiers.gtin(F.col("raw")).alias("g")).select("p_partkey", "g.gtin14", "g.valid", "g.trusted", "g.related_unit")
 
 
 def normalize_mpn(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit(" 00"), F.col("p_partkey").cast("string"), F.lit("/"), F.lower("p_type"), F.lit("-"), F.col("p_size").cast("string"), F.lit(" "))
-    return table(spark, sf, "part").select("p_partkey", identifiers.mpn(raw).alias("m")).select("p_partkey", F.col("m.strict").alias("mpn_strict"), F.col("m.loose").alias("mpn_loose"))
+    return spread(table(spark, sf, "part")).select("p_partkey", identifiers.mpn(raw).alias("m")).select("p_partkey", F.col("m.strict").alias("mpn_strict"), F.col("m.loose").alias("mpn_loose"))
 
 
 def fold_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", text.fold(F.coalesce("text", F.lit(""))).alias("folded"))
+    return spread(table(spark, sf, "documents")).select("doc_id", text.fold(F.coalesce("text", F.lit(""))).alias("folded"))
 
 
 def normalize_brand(spark: SparkSession, sf: str) -> DataFrame:
     form = F.element_at(F.array(*map(F.lit, ("GmbH", "Sp. z o.o.", "Inc.", "S.A.", ""))), (F.col("p_partkey") % 5 + 1).cast("int"))
     raw = F.when(F.col("p_partkey") % 7 == 0, "Hewlett-Packard Inc.").otherwise(F.concat_ws(" ", "p_brand", form))
-    return table(spark, sf, "part").select("p_partkey", names.brand(raw).alias("brand_norm"))
+    return spread(table(spark, sf, "part")).select("p_partkey", names.brand(raw).alias("brand_norm"))
 
 
 def normalize_name_tokens(spark: SparkSession, sf: str) -> DataFrame:
     extra = F.element_at(F.array(*map(F.lit, (" 2x", " 1,5 L blue", " XL czarna", " size 42.5", " the original M"))), (F.col("p_partkey") % 5 + 1).cast("int"))
-    df = table(spark, sf, "part").select("p_partkey", F.concat("p_name", extra).alias("raw"), F.lit("").alias("b"))
+    df = spread(table(spark, sf, "part")).select("p_partkey", F.concat("p_name", extra).alias("raw"), F.lit("").alias("b"))
     out = names.normalize_names(df, "raw", "b")
     return out.select("p_partkey", "name_norm", F.array_join("name_tokens", "|").alias("tokens"), F.col("name_pack").alias("pack_qty"), F.col("name_color").alias("color"), F.col("name_size").alias("size"))
 
@@ -125,8 +137,8 @@ def validate_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fingerprint_build(spark: SparkSession, sf: str) -> DataFrame:
-    out = fps(spark, sf)
-    return out.select("kind", "ref", "gtin14", "gtin_trusted", "brand_norm", "mpn_norm", F.col("weight").cast("double").alias("weight"), F.col("width").cast("double").alias("width"), "phash")
+    out = build_fps(spark, sf)
+    return out.select("kind", "ref", "gtin14", "gtin_trusted", "brand_norm", "mpn_norm", "name_norm", F.array_join("name_tokens", "|").alias("tokens"), "pack_qty", "color", "size", F.col("weight").cast("double").alias("weight"), F.col("width").cast("double").alias("width"), "phash")
 
 
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,11 +190,11 @@ def block_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_phash(spark: SparkSession, sf: str) -> DataFrame:
-    """Wider than the default, so that random hashes meet; every picture as a query."""
-    config = EngineConfig(phash_max_distance=18)
+    """Every picture as a query, with 0 to 12 of its hash's bits turned, some of them beyond the distance."""
     pics = fps(spark, sf).where("phash IS NOT NULL")
-    q = pics.select(F.col("ref").cast("long").alias("query_id"), F.array(F.lit(PIM)).alias("scope"), "phash")
-    return blocking.near_hash(q, pics, config).select("query_id", F.col("ref").cast("long").alias("ref"), "place")
+    turned = F.expr("shiftleft(1L, cast(try_cast(ref AS long) % 13 AS int)) - 1L")
+    q = pics.select(F.col("ref").cast("long").alias("query_id"), F.array(F.lit(PIM)).alias("scope"), F.col("phash").bitwiseXOR(turned).alias("phash"))
+    return blocking.near_hash(q, pics, CONFIG).select("query_id", F.col("ref").cast("long").alias("ref"), "place")
 
 
 def block_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,13 +204,13 @@ def block_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def block_trigram_topk(spark: SparkSession, sf: str) -> DataFrame:
-    q, rows = queries_of(spark, sf), fps(spark, sf)
-    return blocking.by_trigram(blocking.text_pairs(q, rows), CONFIG).select("query_id", "kind", "ref", "place")
+    found = blocking.by_text(queries_of(spark, sf), fps(spark, sf), CONFIG)
+    return found.where(F.col("leg") == blocking.TRIGRAM).select("query_id", "kind", "ref", "place")
 
 
 def block_words(spark: SparkSession, sf: str) -> DataFrame:
-    q, rows = queries_of(spark, sf), fps(spark, sf)
-    return blocking.by_words(blocking.text_pairs(q, rows), q, rows, CONFIG).select("query_id", "kind", "ref", "place")
+    found = blocking.by_text(queries_of(spark, sf), fps(spark, sf), CONFIG)
+    return found.where(F.col("leg") == blocking.WORD).select("query_id", "kind", "ref", "place")
 
 
 def candidates_union(spark: SparkSession, sf: str) -> DataFrame:

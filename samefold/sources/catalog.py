@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samefold.storage import spread
 
 log = logging.getLogger(__name__)
 
@@ -89,7 +90,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table as a catalog. GTIN and part number are derived from the key, weight from price."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
     body = F.concat(F.lit("590"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"))
     total = F.lit(0)
     for k in range(12):

@@ -114,8 +114,7 @@ def test_name_leg_finds_its_row(spark):
     ids = list(range(0, 400, 47))
     q = parse.parse(raw_queries(spark, [{"query_id": i, "q": f"zx{i:04d} {words[i % 8]} seria"} for i in ids]))
     q = spark.createDataFrame(q.collect(), q.schema)
-    pairs = blocking.text_pairs(q, fps)
-    got = {(r.query_id, r.ref) for r in blocking.by_trigram(pairs, EngineConfig()).collect()}
+    got = {(r.query_id, r.ref) for r in blocking.by_text(q, fps, EngineConfig()).where("leg = 3").collect()}
     assert {(i, f"SKU-{i:04d}") for i in ids} <= got
     # brute force over all pairs
     t = similarity.trigrams
@@ -130,9 +129,8 @@ def test_word_leg(spark):
     fps = fp_rows(spark, [{"ref": "long", "name_norm": "kickscooter c2 pro kids 10.6mi range adjustable handlebar height refurbished"}, {"ref": "no", "name_norm": "garden hose"}])
     q = parse.parse(raw_queries(spark, [{"name": "kickscooter c2"}, {"name": "kickscoter c2 pro"}, {"name": "kickscooter"}]))
     q = spark.createDataFrame(q.collect(), q.schema)
-    pairs = blocking.text_pairs(q, fps)
-    assert blocking.by_trigram(pairs, EngineConfig()).count() == 0
-    assert {(r.query_id, r.ref) for r in blocking.by_words(pairs, q, fps, EngineConfig()).collect()} == {(0, "long"), (1, "long")}
+    found = blocking.by_text(q, fps, EngineConfig())
+    assert {(r.leg, r.query_id, r.ref) for r in found.collect()} == {(5, 0, "long"), (5, 1, "long")}
 
 
 def test_hash_leg_is_exact(spark):
