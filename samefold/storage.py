@@ -15,7 +15,7 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         found = _LOCAL.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="samefold-"))
     return f"{found.rstrip('/')}/{sc.applicationId}"
@@ -26,7 +26,16 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     filter on a normalised key would otherwise be pushed through them and repeat them whole."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.persisted_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what persisted() gave, when nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.persisted_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
