@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from samefold.storage import persisted as staged  # noqa: F401  (the operators take it from here)
+from samefold.storage import spread
+
 #: Rows in an Arrow batch: a batch of long texts stays within tens of megabytes.
 BATCH_ROWS = 512
 
@@ -23,7 +24,8 @@ _SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All documents; a file of fewer splits than there are cores is dealt out over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,27 +79,3 @@ def arrow_map(df: DataFrame, schema: str | StructType, fn: Callable[[pa.RecordBa
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset
-    (local tests) a temporary folder takes its place."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-        found = _FALLBACK.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="samefold-"))
-    return f"{found.rstrip('/')}/{sc.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: its lineage ends there, so a
-    lost executor costs only the tasks that ran on it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
