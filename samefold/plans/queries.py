@@ -129,8 +129,20 @@ def parse_query(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validate_query(spark: SparkSession, sf: str) -> DataFrame:
-    raw = requests(spark, sf).withColumn("limit", (F.col("query_id") % 150 / 50 * 15).cast("int"))
-    return parse.validate(raw, CONFIG).select("query_id", "error")
+    """Every part as a request, of which each twentieth breaks one of the rules."""
+    k = F.col("query_id") % 20
+    raw = requests(spark, sf, whole=True)
+    long = lambda n: F.repeat(F.lit("x"), n)
+    broken = {c: F.when(k == i, long(n)).otherwise(F.col(c)) for i, (c, n) in enumerate({"q": 501, "ean": 33, "brand": 256, "mpn": 256, "sku": 256, "name": 501}.items(), 1)}
+    attrs = F.col("attrs")
+    for i, (field, value) in enumerate({"weight": -1, "width": -2, "height": -3, "deep": -4, "color": long(65), "size": long(65)}.items(), 7):
+        kept = F.col(f"attrs.{field}")
+        attrs = attrs.withField(field, F.when(k == i, value if i > 10 else F.lit(value).cast("decimal(38,10)")).otherwise(kept))
+    attrs = attrs.withField("pack_qty", F.when(k == 13, 0).when(k == 14, 10_000).otherwise(F.col("attrs.pack_qty")))
+    broken |= {"attrs": attrs, "limit": F.when(k == 15, 0).when(k == 16, 21).otherwise(F.col("limit")), "scope": F.when(k == 17, F.array(F.lit("other"))).otherwise(F.col("scope"))}
+    raw = raw.withColumns(broken)
+    mute = {c: F.when(k != 18, F.col(c)) for c in ("q", "ean", "name", "mpn", "sku", "phash")}
+    return parse.validate(raw.withColumns(mute), CONFIG).select("query_id", "error")
 
 
 # ---- fingerprints
