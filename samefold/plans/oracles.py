@@ -141,9 +141,25 @@ _CHECKED = "checked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 _OLDER = f"""old AS (
   SELECT kind, ref, mpn_norm, vec FROM fp WHERE NOT (kind = '{PIM}' AND p_partkey % 10 = 3)
   UNION ALL SELECT kind, 'gone-' || ref, mpn_norm, vec FROM fp WHERE kind = '{PIM}' AND p_partkey % 20 = 4)"""
-_LABELS = """o AS (
-  SELECT doc_id, CASE WHEN toxic = 1 THEN 'variant' WHEN quality = 1 THEN 'match' ELSE 'no' END AS label, (doc_id * 37 % 101)::INT AS score,
-    CASE WHEN doc_id * 37 % 101 >= 75 THEN 'match' WHEN doc_id * 37 % 101 >= 45 THEN 'review' ELSE 'no_match' END AS decision FROM labels)"""
+_NO_KEYS = "'' AS gtin14, brand_norm, '' AS mpn_norm, '' AS sku"
+_NO_IMAGE = "NULL::BIGINT AS phash, NULL::FLOAT[] AS vec"
+_EVAL = f"""WITH {_CATALOG},
+given AS (
+  SELECT query_id, 'A' || query_id::VARCHAR AS ref, 'match' AS label, '{ATLAS}' AS kind FROM req UNION ALL SELECT query_id, (query_id + 1)::VARCHAR, 'no', '{PIM}' FROM req
+  UNION ALL SELECT query_id, 'A' || (query_id + 2)::VARCHAR, 'variant', '{ATLAS}' FROM req UNION ALL SELECT query_id, 'x', 'perhaps', '{PIM}' FROM req),
+rows AS (SELECT row_number() OVER () AS id, * FROM given),
+asked AS (
+  SELECT id AS query_id, gtin14, e.brand_norm, mpn_norm, '' AS sku, title AS name_norm, color, weight, [kind] AS scope, phash, embedding AS vec
+  FROM rows r JOIN every e USING (query_id) LEFT JOIN hashes ON vec_id = r.query_id WHERE label <> 'perhaps'),
+checked AS (WITH {_pool(f"SELECT query_id, gtin14, brand_norm, mpn_norm, sku, name_norm, color, weight, scope, {_NO_IMAGE} FROM asked", image=False)}, {_SCORED} SELECT query_id, kind, ref, score, decision FROM scored),
+named AS (WITH {_pool(f"SELECT query_id, {_NO_KEYS}, name_norm, scope, {_NO_IMAGE} FROM asked", image=False, limit=50)} SELECT query_id, kind, ref FROM pool),
+seen AS (WITH {_pool(f"SELECT query_id, {_NO_KEYS}, '' AS name_norm, scope, phash, vec FROM asked WHERE phash IS NOT NULL", limit=20)} SELECT query_id, kind, ref FROM pool),
+outcomes AS (
+  SELECT r.query_id::VARCHAR AS query_ref, r.ref AS candidate_ref, label, CASE WHEN label = 'perhaps' THEN 'bad label' END AS skip_reason, coalesce(c.score, 0)::INT AS score,
+    coalesce(c.decision, 'no_match') AS decision, c.score IS NOT NULL AS retrieved, n.ref IS NOT NULL AS name_blocked, CASE WHEN a.phash IS NOT NULL THEN s.ref IS NOT NULL END AS image_blocked
+  FROM rows r LEFT JOIN asked a ON a.query_id = r.id LEFT JOIN checked c ON c.query_id = r.id AND c.kind = r.kind AND c.ref = r.ref
+  LEFT JOIN named n ON n.query_id = r.id AND n.kind = r.kind AND n.ref = r.ref LEFT JOIN seen s ON s.query_id = r.id AND s.kind = r.kind AND s.ref = r.ref),
+o AS (SELECT * FROM outcomes WHERE skip_reason IS NULL)"""
 
 SQL = {
     "normalize_gtin": """
@@ -243,19 +259,20 @@ SELECT p_partkey, round({_SIMILARITY.format(a="a", b="b")}, 6) AS similarity FRO
     "rejected_pairs": """
 SELECT DISTINCT (doc_id % 100)::VARCHAR AS subject_ref, (doc_id % 37)::VARCHAR AS candidate_ref FROM labels
 WHERE toxic = 1 AND doc_id % 100 IN (SELECT doc_id % 100 FROM labels WHERE doc_id % 2 = 0)""",
+    "eval_outcomes": f"{_EVAL} SELECT * FROM outcomes",
+    "eval_summary": f"{_EVAL} SELECT skip_reason, count(*)::BIGINT AS n_pairs, (count(*) FILTER (NOT retrieved))::BIGINT AS n_not_retrieved FROM outcomes GROUP BY skip_reason",
     "eval_threshold_sweep": f"""
-WITH {_LABELS},
+{_EVAL},
 g AS (SELECT p AS positives, t::INT AS threshold, score >= t AS said, label = 'match' OR (label = 'variant' AND p = 'match+variant') AS actual
   FROM o, (VALUES ('match'), ('match+variant')) a(p), (VALUES (30), (45), (60), (75)) b(t)),
-c AS (SELECT positives, threshold, (count(*) FILTER (said AND actual))::BIGINT AS tp, (count(*) FILTER (said AND NOT actual))::BIGINT AS fp,
+n AS (SELECT positives, threshold, (count(*) FILTER (said AND actual))::BIGINT AS tp, (count(*) FILTER (said AND NOT actual))::BIGINT AS fp,
   (count(*) FILTER (NOT said AND actual))::BIGINT AS fn, (count(*) FILTER (NOT said AND NOT actual))::BIGINT AS tn FROM g GROUP BY ALL),
-r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM c)
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM n)
 SELECT positives, threshold, tp, fp, fn, tn, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1 FROM r""",
-    "eval_confusion": f"WITH {_LABELS} SELECT label, decision, count(*)::BIGINT AS n_pairs FROM o GROUP BY ALL",
+    "eval_confusion": f"{_EVAL} SELECT label, decision, count(*)::BIGINT AS n_pairs FROM o GROUP BY ALL",
     "eval_recall": f"""
-WITH {_LABELS} SELECT round(avg((score >= 20)::INT), 6) AS recall_at_50_name, round(avg((score >= 10)::INT) FILTER (doc_id % 2 = 0), 6) AS recall_at_20_image
-FROM o WHERE label IN ('match', 'variant')""",
+{_EVAL} SELECT round(avg(name_blocked::INT), 6) AS recall_at_50_name, round(avg(image_blocked::INT), 6) AS recall_at_20_image FROM o WHERE label IN ('match', 'variant')""",
     "eval_decision_view": f"""
-WITH {_LABELS} SELECT (count(*) FILTER (label = 'match' AND decision = 'match'))::BIGINT AS linked, (count(*) FILTER (label = 'match' AND decision = 'review'))::BIGINT AS reviewed,
+{_EVAL} SELECT (count(*) FILTER (label = 'match' AND decision = 'match'))::BIGINT AS linked, (count(*) FILTER (label = 'match' AND decision = 'review'))::BIGINT AS reviewed,
   (count(*) FILTER (label = 'match' AND decision = 'no_match'))::BIGINT AS missed, (count(*) FILTER (label = 'no' AND decision = 'match'))::BIGINT AS linked_wrongly FROM o""",
 }

@@ -282,38 +282,41 @@ def rejected_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels as labelled pairs with scores by a formula."""
-    lab = table(spark, sf, "labels")
-    s = (F.col("doc_id") * 37 % 101).cast("int")
-    label = F.when(F.col("toxic") == 1, "variant").when(F.col("quality") == 1, "match").otherwise("no")
-    verdict = F.when(s >= 75, "match").when(s >= 45, "review").otherwise("no_match")
-    return lab.select("doc_id", label.alias("label"), s.alias("score"), verdict.alias("decision"), (s >= 20).alias("name_blocked"), F.when(F.col("doc_id") % 2 == 0, s >= 10).alias("image_blocked"))
+    """Every 50th part against its own second listing, that of the part after next, and the part after it."""
+    part = table(spark, sf, "part").where("p_partkey % 50 = 0")
+    key = F.col("p_partkey")
+    other = lambda n: F.concat(F.lit("A"), (key + n).cast("string"))
+    cases = [(other(0), "match", ATLAS), (other(2), "variant", ATLAS), ((key + 1).cast("string"), "no", PIM), (F.lit("x"), "perhaps", PIM)]
+    row = lambda ref, label, kind: part.select(F.lit(PIM).alias("query_kind"), key.cast("string").alias("query_ref"), F.lit(kind).alias("candidate_kind"), ref.alias("candidate_ref"), F.lit(label).alias("label"), F.lit("").alias("why"))
+    pairs = row(*cases[0])
+    for case in cases[1:]:
+        pairs = pairs.unionByName(row(*case))
+    return evaluate.outcomes(pairs, registry(sf).items(spark), fps(spark, sf), CONFIG)
+
+
+def eval_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return _outcomes(spark, sf).select("query_ref", "candidate_ref", "label", "skip_reason", "score", "decision", "retrieved", "name_blocked", "image_blocked")
+
+
+def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.summary(_outcomes(spark, sf))
 
 
 def eval_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluate.sweep(_outcomes(spark, sf), [30, 45, 60, 75])
+    out = evaluate.sweep(evaluate.usable(_outcomes(spark, sf)), [30, 45, 60, 75])
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
 def eval_confusion(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.confusion(_outcomes(spark, sf))
+    return evaluate.confusion(evaluate.usable(_outcomes(spark, sf)))
 
 
 def eval_recall(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.recalls(_outcomes(spark, sf)).select(*(F.round(c, 6).alias(c) for c in ("recall_at_50_name", "recall_at_20_image")))
+    return evaluate.recalls(evaluate.usable(_outcomes(spark, sf))).select(*(F.round(c, 6).alias(c) for c in ("recall_at_50_name", "recall_at_20_image")))
 
 
 def eval_decision_view(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.decision_view(_outcomes(spark, sf))
-
-
-def eval_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every 50th part against its second listing, and against the part after it."""
-    part = table(spark, sf, "part").where("p_partkey % 50 = 0")
-    row = lambda ref, label, kind: part.select(F.lit(PIM).alias("query_kind"), F.col("p_partkey").cast("string").alias("query_ref"), F.lit(kind).alias("candidate_kind"), ref.alias("candidate_ref"), F.lit(label).alias("label"), F.lit("").alias("why"))
-    pairs = row(F.concat(F.lit("A"), F.col("p_partkey").cast("string")), "match", ATLAS).unionByName(row((F.col("p_partkey") + 1).cast("string"), "no", PIM)).unionByName(row(F.lit("x"), "perhaps", PIM))
-    out = evaluate.outcomes(pairs, registry(sf).items(spark), fps(spark, sf), CONFIG)
-    return out.select("query_ref", "candidate_ref", "label", "skip_reason", "score", "decision", "retrieved", "name_blocked", "image_blocked")
+    return evaluate.decision_view(evaluate.usable(_outcomes(spark, sf)))
 
 
 QUERIES = {
@@ -321,7 +324,7 @@ QUERIES = {
     for f in (
         normalize_gtin, normalize_mpn, fold_text, normalize_brand, normalize_name_tokens, parse_query, validate_query, fingerprint_build, coverage, reconcile_diff,
         upsert_snapshot, refresh_outcomes, stream_refresh, block_exact, block_phash, block_vector_topk, block_trigram_topk, block_words, candidates_union,
-        trigram_similarity, score_levels, decide_verdict, relevance_rank, search_topk, check_topk, check_overall, rejected_pairs, eval_threshold_sweep,
-        eval_confusion, eval_recall, eval_decision_view,
+        trigram_similarity, score_levels, decide_verdict, relevance_rank, search_topk, check_topk, check_overall, rejected_pairs, eval_outcomes, eval_summary,
+        eval_threshold_sweep, eval_confusion, eval_recall, eval_decision_view,
     )
 }
