@@ -22,6 +22,11 @@ class EngineConfig:
     image_enabled: bool = True
     embedding: dict = field(default_factory=lambda: {"provider": "none"})
 
+    @property
+    def dim(self) -> int:
+        """Numbers in a vector."""
+        return int(self.embedding.get("dim", 1152))
+
     @property
     def model_id(self) -> str:
         return self.embedding.get("model") or self.embedding.get("provider", "none")

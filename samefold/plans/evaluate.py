@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from samefold.config import KINDS, NO_MATCH, EngineConfig
 from samefold.operators import blocking
 from samefold.plans import lookup, parse
-from samefold.plans.fingerprints import pick_name
+from samefold.sources.catalog import pick_name
 from samefold.storage import persisted
 
 LABELS = ("match", "variant", "no")
@@ -103,6 +103,23 @@ def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(~F.col("retrieved")).alias("n_not_retrieved"))
 
 
+def report(found: DataFrame, thresholds: list[int]) -> str:
+    """The evaluation as text. What is collected is a row for each threshold, label or reason."""
+    used = usable(found)
+    counts = {r.skip_reason: r for r in summary(found).collect()}
+    skipped = {k: r.n_pairs for k, r in counts.items() if k}
+    lines = [f"pairs: {sum(r.n_pairs for r in counts.values())}, skipped: {sum(skipped.values())}" + "".join(f", {k}: {n}" for k, n in sorted(skipped.items()))]
+    lines.append(f"not retrieved: {counts[None].n_not_retrieved if None in counts else 0}")
+    for r in sorted(sweep(used, thresholds).collect(), key=lambda r: (r.positives, r.threshold)):
+        lines.append(f"{r.positives} >= {r.threshold}: precision {r.precision:.3f}, recall {r.recall:.3f}, F1 {r.f1:.3f} ({r.tp} right, {r.fp} wrong, {r.fn} missed)")
+    lines += [f"{r.label} -> {r.decision}: {r.n_pairs}" for r in sorted(confusion(used).collect())]
+    view, r = decision_view(used).first(), recalls(used).first()
+    lines.append(f"linked {view.linked}, for review {view.reviewed}, missed {view.missed}, linked wrongly {view.linked_wrongly}")
+    share = lambda x: "no pairs" if x is None else f"{x:.3f}"
+    lines.append(f"name recall at 50: {share(r.recall_at_50_name)}; picture recall at 20: {share(r.recall_at_20_image)}")
+    return "\n".join(lines)
+
+
 def parse_thresholds(text: str) -> list[int]:
     """'45,75' to numbers; a bad list is the default."""
     try:

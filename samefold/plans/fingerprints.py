@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samefold.config import KINDS
 from samefold.functions import identifiers, names
 from samefold.plans.parse import AXES
 from samefold.schemas import IMAGE_COLUMNS
+from samefold.sources.catalog import pick_name
 
 KEYS = ["kind", "ref"]
 
 
-def pick_name(by_lang: Column) -> Column:
-    """The Polish, English or German name, else the first that isn't empty."""
-    filled = lambda c: F.when(c != "", c)
-    others = F.get(F.filter(F.map_values(by_lang), lambda v: v != ""), F.lit(0))
-    return F.coalesce(*(filled(F.try_element_at(by_lang, F.lit(k))) for k in ("pl", "en", "de")), others, F.lit(""))
-
-
 def build(items: DataFrame) -> DataFrame:
     """One fingerprint for each item of a known kind; image columns are empty."""
     attr = lambda a: F.try_element_at(F.col("attrs"), F.lit(a)).try_cast("decimal(12,4)").alias(a)

@@ -57,6 +57,18 @@ def check(queries: DataFrame, fps: DataFrame, config: EngineConfig | None = None
     return out.select("query_id", "rank", "kind", "ref", F.col("relevance").alias("similarity"), "match_kind", "score", "decision", "flags", "reasons", *more)
 
 
+PARSED = ["gtin14", "brand_norm", "mpn_norm", "sku", "name_norm", "name_tokens", "weight", "width", "height", "deep", "color", "size", "pack_qty"]
+
+
+def answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id, parsed (what was understood), hits in order of rank (empty if there are none), warnings:
+    one row for each query. Queries need `warnings`."""
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *(c for c in hits.columns if c not in ("query_id", "rank"))))).alias("hits"))
+    out = queries.select("query_id", F.struct(*PARSED).alias("parsed"), "warnings").join(listed, "query_id", "left")
+    empty = F.array().cast(listed.schema["hits"].dataType)
+    return out.select("query_id", "parsed", F.coalesce("hits", empty).alias("hits"), "warnings")
+
+
 _RANK = {NO_MATCH: 0, REVIEW: 1, MATCH: 2}
 
 

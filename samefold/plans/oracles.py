@@ -214,7 +214,11 @@ WITH {_CATALOG}, {_OLDER},
 refs AS (SELECT DISTINCT '{PIM}' AS kind, CASE WHEN user_id % 9 = 0 THEN 'gone-' ELSE '' END || user_id::VARCHAR AS ref FROM events)
 SELECT r.kind, r.ref, CASE WHEN c.ref IS NOT NULL THEN 'refreshed' WHEN o.ref IS NOT NULL THEN 'deleted' ELSE 'absent' END AS outcome
 FROM refs r LEFT JOIN cat c USING (kind, ref) LEFT JOIN old o USING (kind, ref)""",
-    "stream_refresh": "SELECT event_type AS kind, user_id::VARCHAR AS ref, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL",
+    "stream_refresh": f"""
+WITH {_CATALOG}, {_OLDER},
+refs AS (SELECT DISTINCT '{PIM}' AS kind, CASE WHEN user_id % 9 = 0 THEN 'gone-' ELSE '' END || user_id::VARCHAR AS ref FROM events)
+SELECT kind, ref, 'NEW' || ref AS mpn_norm, old.vec IS NOT NULL AS has_vector FROM refs JOIN cat USING (kind, ref) LEFT JOIN old USING (kind, ref)
+UNION ALL SELECT kind, ref, mpn_norm, vec IS NOT NULL FROM old ANTI JOIN refs USING (kind, ref)""",
     "block_exact": f"""
 WITH {_CATALOG}
 SELECT DISTINCT query_id, kind, ref FROM (

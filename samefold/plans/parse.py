@@ -24,7 +24,8 @@ def validate(raw: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     tests += [((F.col("attrs.pack_qty") < 1) | (F.col("attrs.pack_qty") > 9999), "attrs.pack_qty is out of range")]
     tests += [((F.col("limit") < 1) | (F.col("limit") > config.max_limit), "limit is out of range")]
     tests += [(F.size(F.array_except("scope", F.array(*map(F.lit, KINDS)))) > 0, "scope holds an unknown kind")]
-    signal = filled("q") | filled("ean") | filled("name") | filled("mpn") | filled("sku") | filled("image_url") | F.col("phash").isNotNull()
+    picture = F.col("image").isNotNull() if "image" in raw.columns else F.lit(False)
+    signal = picture | filled("q") | filled("ean") | filled("name") | filled("mpn") | filled("sku") | filled("image_url") | F.col("phash").isNotNull()
     tests += [(~signal, "no signal: one of q, ean, name, mpn, sku or an image is needed")]
     return raw.withColumn("error", F.coalesce(*(F.when(t, F.lit(m)) for t, m in tests)))
 
@@ -63,5 +64,5 @@ def parse(raw: DataFrame, config: EngineConfig | None = None) -> DataFrame:
         first(F.lower(identifiers.stripped(F.col("attrs.size"))), F.col("name_size")).alias("size"),
         *(F.col(f"attrs.{a}").cast("decimal(38,10)").alias(a) for a in AXES),
         F.coalesce("scope", F.array(*map(F.lit, KINDS))).alias("scope"), F.coalesce("limit", F.lit(config.default_limit)).alias("limit"),
-        "phash", "image_vec", "model_id",
+        "phash", "image_vec", "model_id", *(["image_warnings"] if "image_warnings" in raw.columns else []),
     )

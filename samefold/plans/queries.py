@@ -18,7 +18,7 @@ from samefold.operators import blocking
 from samefold.plans import decisions, evaluate, fingerprints, lookup, parse
 from samefold.sources.catalog import CatalogSource, Registry, part_catalog
 from samefold.storage import persisted, scratch, spread
-from samefold.streaming.refresh import latest
+from samefold.streaming.refresh import SnapshotStore, latest, refresh_stream
 
 PIM, ATLAS = KINDS
 CONFIG = EngineConfig()
@@ -173,24 +173,27 @@ def upsert_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return after.select("kind", "ref", "mpn_norm", F.col("image_vec").isNotNull().alias("has_vector"))
 
 
+def _event_ref():
+    user = F.col("user_id").cast("string")
+    return F.when(F.col("user_id") % 9 == 0, F.concat(F.lit("gone-"), user)).otherwise(user)
+
+
 def refresh_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    ev = table(spark, sf, "events").select(F.lit(PIM).alias("kind"), F.when(F.col("user_id") % 9 == 0, F.concat(F.lit("gone-"), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string")).alias("ref"), "ts")
+    ev = table(spark, sf, "events").select(F.lit(PIM).alias("kind"), _event_ref().alias("ref"), "ts")
     return fingerprints.refresh(_older(spark, sf), latest(ev), registry(sf).items(spark))[1]
 
 
 def stream_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a stream of changes: the last one of each user and type, batch by batch."""
-    source = table(spark, sf, "events")
+    """The events table as a stream of changed references against an older snapshot; part numbers have
+    changed in the catalogs meanwhile. Returns the snapshot after the stream."""
     out = f"{scratch(spark)}/stream-{uuid.uuid4().hex[:12]}"
-
-    def batch(df: DataFrame, k: int) -> None:
-        keyed = df.select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("ref"), F.struct("ts", "event_id").alias("ts"))
-        latest(keyed).withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/batch={k}")
-
-    stream = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parquet*")
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.schema("kind string, ref string, ts struct<ts:timestamp,event_id:long>").parquet(f"{out}/batch=*")
-    return latest(done).select("kind", "ref", F.col("ts.event_id").alias("event_id"))
+    store = SnapshotStore(spark, f"{out}/snapshots")
+    store.write(_older(spark, sf))
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    changes = events.select(F.lit(PIM).alias("kind"), _event_ref().alias("ref"), F.struct("ts", "event_id").alias("ts"))
+    items = lambda s: registry(sf).items(s).withColumn("mpn", F.concat(F.lit("NEW"), "ref"))
+    refresh_stream(changes, items, store, f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.read().select("kind", "ref", "mpn_norm", F.col("image_vec").isNotNull().alias("has_vector"))
 
 
 # ---- blocking

@@ -16,7 +16,7 @@ FINGERPRINT = (
     "phash long, image_vec array<float>, vec_model string, image_sha1 string, source_updated_at timestamp"
 )
 DECISION = (
-    "query_id long, subject_ref string, candidate_kind string, candidate_ref string, score int, "
+    "query_id long, query string, subject_ref string, candidate_kind string, candidate_ref string, score int, "
     "features array<struct<code:string,score:int,observed:struct<query:string,candidate:string>>>, "
     "decision_auto string, decision_human string, user_id long, source string, created_at timestamp"
 )

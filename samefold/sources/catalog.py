@@ -6,18 +6,29 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samefold.functions.identifiers import stripped
 from samefold.storage import spread
 
 log = logging.getLogger(__name__)
 
+#: Fields of a display() and what they are called in a hit.
+DISPLAY = {"name": "name", "brand": "brand", "gtin": "ean", "image_url": "main_image_url", "detail_url": "detail_url"}
+
+
+def pick_name(by_lang: Column) -> Column:
+    """The Polish, English or German name, else the first that isn't empty."""
+    filled = lambda c: F.when(c != "", c)
+    others = F.get(F.filter(F.map_values(by_lang), lambda v: v != ""), F.lit(0))
+    return F.coalesce(*(filled(F.try_element_at(by_lang, F.lit(k))) for k in ("pl", "en", "de")), others, F.lit(""))
+
 
 @dataclass(frozen=True)
 class CatalogSource:
     """A catalog: read() gives its items (schemas.ITEM without kind); display(), if there is one,
-    gives ref, name, brand, gtin, image_url, detail_url."""
+    gives ref and what it knows of name, brand, gtin, image_url, detail_url."""
 
     kind: str
     read: Callable[[SparkSession], DataFrame]
@@ -28,6 +39,20 @@ class CatalogSource:
         df = self.read(spark).withColumn("kind", F.lit(self.kind))
         return df if since is None else df.where(F.col("updated_at") >= F.lit(since))
 
+    def shown(self, spark: SparkSession) -> DataFrame:
+        """kind, ref and the six fields of a hit. What display() doesn't give is ''; a catalog without
+        display(), or whose display() finds nothing to look up in, shows its items."""
+        given = None
+        if self.display:
+            try:
+                given = self.display(spark)
+            except LookupError:
+                log.warning("display of %s isn't available; its items are shown", self.kind)
+        if given is None:
+            given = self.items(spark).select("ref", pick_name(F.col("name_by_lang")).alias("name"), "brand", "gtin", F.col("image_path_or_url").alias("image_url"))
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in given.columns else F.lit("")
+        return given.select(F.lit(self.kind).alias("kind"), "ref", F.col("ref").alias("sku"), *(text(c).alias(name) for c, name in DISPLAY.items()))
+
     def get(self, spark: SparkSession, refs: DataFrame) -> DataFrame:
         """The items of refs (ref); those that aren't served are absent."""
         return self.items(spark).join(refs.select("ref").distinct(), "ref", "left_semi")
@@ -70,8 +95,11 @@ class Registry:
     def scoped(self, queries: DataFrame) -> DataFrame:
         """Queries with kinds that have no catalog taken out of scope and named in `warnings`."""
         known = F.array(*map(F.lit, self.kinds)) if self._given else F.array().cast("array<string>")
+        warnings = F.transform(F.array_except("scope", known), lambda k: F.concat(F.lit("kind_unavailable:"), k))
+        if "image_warnings" in queries.columns:
+            warnings = F.concat(warnings, F.col("image_warnings"))
         return queries.withColumns({
-            "warnings": F.transform(F.array_except("scope", known), lambda k: F.concat(F.lit("kind_unavailable:"), k)),
+            "warnings": warnings,
             "scope": F.array_intersect("scope", known),
         })
 
@@ -80,10 +108,11 @@ PAIR_FIELDS = ["query_kind", "query_ref", "candidate_kind", "candidate_ref", "la
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """A labelled CSV: all values stripped, labels in lower case, rows without query_ref dropped."""
+    """A labelled CSV: all values stripped of white space, labels in lower case, rows without query_ref
+    dropped. A quoted value may go over lines, so a file is one task: such files are written by hand."""
     raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"')
     have = {c.lstrip("﻿").strip(): c for c in raw.columns}
-    text = lambda f: F.trim(F.coalesce(F.col(f"`{have[f]}`"), F.lit(""))) if f in have else F.lit("")
+    text = lambda f: stripped(F.col(f"`{have[f]}`")) if f in have else F.lit("")
     df = raw.select(*(text(f).alias(f) for f in PAIR_FIELDS))
     return df.withColumn("label", F.lower("label")).where(F.col("query_ref") != "")
 

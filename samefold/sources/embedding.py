@@ -45,10 +45,12 @@ class NoProvider:
 
 
 def make_provider(settings: dict) -> EmbeddingProvider:
-    """'none', or the dotted path of a class that takes the settings."""
+    """'none', 'hosted', or the dotted path of a class that takes the settings."""
     name = settings.get("provider", "none")
     if name == "none":
         return NoProvider()
+    if name == "hosted":
+        name = "samefold.sources.hosted.HostedProvider"
     module, _, attr = name.rpartition(".")
     try:
         return getattr(importlib.import_module(module), attr)(settings)

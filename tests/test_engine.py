@@ -2,7 +2,11 @@
 
 import datetime
 import itertools
+import json
 import random
+import struct
+import zlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,8 +18,9 @@ from samefold.operators import blocking, images, scoring
 from samefold.plans import decisions, evaluate, fingerprints, parse
 from samefold.schemas import FINGERPRINT, ITEM, QUERY
 from samefold.sources.catalog import CatalogSource, Registry, read_pairs
-from samefold.sources.embedding import NoProvider, check_url, embed, make_provider
-from samefold.streaming.refresh import SnapshotStore, refresh_stream, watched
+from samefold.sources.embedding import EmbeddingError, NoProvider, ProviderInfo, check_url, embed, make_provider
+from samefold.sources.hosted import HostedProvider, fetch_picture
+from samefold.streaming.refresh import SnapshotStore, latest, refresh_stream, watched
 
 PIM, ATLAS = KINDS
 BASE = dict(gtin14="", gtin_trusted=False, brand_norm="", mpn_norm="", name_norm="", pack_qty=None, color="", size="", weight=None, width=None, height=None, deep=None, phash=None, image_vec=None)
@@ -203,21 +208,46 @@ def test_parse_and_validate(spark):
 
 
 def test_engine(spark, tmp_path):
-    source = CatalogSource(PIM, lambda s: items(s, CATALOG).drop("kind"), lambda s: s.createDataFrame([("42", "drill"), ("44", "-")], "ref string, title string"))
+    source = CatalogSource(PIM, lambda s: items(s, CATALOG).drop("kind"), lambda s: s.createDataFrame([("42", "drill"), ("44", "-")], "ref string, name string"))
     engine = Engine(spark, Registry({PIM: lambda: source}), SnapshotStore(spark, str(tmp_path / "snap")))
+    assert engine.fingerprints.count() == 0
     assert engine.backfill().first().n_written == 3 and engine.reconcile().count() == 0
-    raw = raw_queries(spark, [{"ean": "5901234123457"}, {"name": "Boreal Desk Lamp"}, {"name": "zzzz qqqq"}, {"brand": "x"}])
+    raw = raw_queries(spark, [{"ean": "5901234123457"}, {"name": "Boreal Desk Lamp"}, {"name": "zzzz qqqq", "image_url": "http://a/x.png"}, {"brand": "x"}])
     hits = engine.search(raw).collect()
-    assert [(r.query_id, r.ref, r.similarity, r.match_kind, r.title) for r in hits] == [(0, "42", 100, "exact", "drill")] and "score" not in hits[0].asDict()
+    assert [(r.query_id, r.ref, r.similarity, r.match_kind, r.sku, r.name, r.brand, r.detail_url) for r in hits] == [(0, "42", 100, "exact", "42", "drill", "", "")] and "score" not in hits[0].asDict()
     log = str(tmp_path / "log")
-    assert [r.decision for r in engine.check(raw, log).collect()] == ["match"]
+    assert [r.decision for r in engine.check(raw, log, user_id=7).collect()] == ["match"]
     assert {r.query_id: r.decision for r in engine.overall(raw).collect()} == {0: "match", 1: "no_match", 2: "no_match"}
     assert [r.query_id for r in engine.rejected(raw).collect()] == [3]
-    assert spark.read.parquet(log).first().decision_auto == "match"
-    assert engine.doctor().where("name = 'snapshot'").first().ok
+    row = spark.read.parquet(log).first()
+    assert row.decision_auto == "match" and row.user_id == 7 and json.loads(row.query)["gtin14"] == "05901234123457"
+    found = {r.query_id: r for r in engine.check_answers(raw).collect()}
+    unknown = f"kind_unavailable:{ATLAS}"
+    assert found[0].decision == "match" and [h.ref for h in found[0].hits] == ["42"] and found[0].parsed.gtin14 == "05901234123457" and found[0].warnings == [unknown]
+    assert found[2].hits == [] and found[2].warnings == [unknown, images.UNAVAILABLE] and found[2].parsed.name_norm == "zzzz qqqq"
+    assert engine.doctor().where("name = 'snapshot'").first().ok and not engine.doctor().where("name = 'settings'").first().ok
     with pytest.raises(ValueError):
         engine.registry.get("moon")
-    assert engine.registry.scoped(parse.parse(raw)).first().warnings == [f"kind_unavailable:{ATLAS}"]
+    assert engine.registry.scoped(parse.parse(raw)).first().warnings == [unknown]
+    assert "not retrieved: 0" in engine.report(engine.evaluate(spark.createDataFrame([(PIM, "42", PIM, "42", "match", "")], "query_kind string, query_ref string, candidate_kind string, candidate_ref string, label string, why string"), log_path=log))
+    assert spark.read.parquet(log).where("source = 'lookup_eval'").count() == 1
+
+
+def test_kinds_without_display_show_their_items(spark, tmp_path):
+    def broken(s):
+        raise LookupError("no such thing")
+
+    own = [dict(ref="a1", name_by_lang={"en": "Boreal Desk Lamp"}, image_path_or_url="/x.png", gtin="5901234123457")]
+    for display in (None, broken):
+        registry = Registry({
+            PIM: CatalogSource(PIM, lambda s: items(s, CATALOG).drop("kind"), lambda s: s.createDataFrame([("43", "lamp", "u")], "ref string, name string, detail_url string")),
+            ATLAS: CatalogSource(ATLAS, lambda s: items(s, own).drop("kind"), display),
+        })
+        engine = Engine(spark, registry, SnapshotStore(spark, str(tmp_path / f"snap{display is None}")))
+        engine.backfill()
+        hits = {r.ref: r for r in engine.search(raw_queries(spark, [{"name": "boreal desk lamp"}])).collect()}
+        assert set(hits) == {"43", "a1"} and hits["43"].detail_url == "u"
+        assert (hits["a1"].name, hits["a1"].ean, hits["a1"].main_image_url, hits["a1"].sku) == ("Boreal Desk Lamp", "5901234123457", "/x.png", "a1")
 
 
 def test_decisions(spark):
@@ -246,16 +276,131 @@ def test_pairs_and_evaluation(spark, tmp_path):
 
 
 def test_stream_refresh(spark, tmp_path):
+    schema = "kind string, ref string, ts long"
     store = SnapshotStore(spark, str(tmp_path / "snap"))
-    store.write(fingerprints.build(items(spark, CATALOG)))
-    spark.createDataFrame([(PIM, "43", 1), (PIM, "43", 2), (PIM, "42", 1)], "kind string, ref string, ts long").write.parquet(str(tmp_path / "changes"))
+    spark.createDataFrame([(PIM, "43", 1), (PIM, "43", 2), (PIM, "42", 1)], schema).write.parquet(str(tmp_path / "changes"))
     later = [CATALOG[0] | {"mpn": "NEW1"}, CATALOG[2]]
-    changes = spark.readStream.schema("kind string, ref string, ts long").parquet(str(tmp_path / "changes"))
-    refresh_stream(changes, lambda s: items(s, later), store, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert {r.ref: r.mpn_norm for r in store.read().collect()} == {"42": "NEW1", "44": ""} and store.versions() == [0, 1]
+    done = []
+
+    def run(at="cp"):
+        changes = spark.readStream.schema(schema).parquet(str(tmp_path / "changes"))
+        stream = refresh_stream(changes, lambda s: items(s, later), store, str(tmp_path / at), after=lambda refs: done.append(refs.count()))
+        return stream.trigger(availableNow=True)
+
+    run("cp0").start().awaitTermination()  # an empty store
+    assert {r.ref for r in store.read().collect()} == {"42"} and store.versions() == [0]
+    store.write(fingerprints.build(items(spark, CATALOG)))
+    waiting = run()
+    store.write(store.read())  # a backfill between the stream's making and its first batch
+    waiting.start().awaitTermination()
+    assert {r.ref: r.mpn_norm for r in store.read().collect()} == {"42": "NEW1", "44": ""} and store.versions() == [0, 1, 2, 3] and done == [2, 2]
+    later[1] = CATALOG[2] | {"mpn": "NEW2"}
+    spark.createDataFrame([(PIM, "44", 9)], schema).write.mode("append").parquet(str(tmp_path / "changes"))
+    run().start().awaitTermination()  # after a restart the next batch goes on
+    assert {r.ref: r.mpn_norm for r in store.read().collect()} == {"42": "NEW1", "44": "NEW2"} and store.done(str(tmp_path / "cp")) == 1
+    assert {r.ref for r in store.read(1).collect()} == {"42", "43", "44"}
     old = spark.createDataFrame([(PIM, "1", "a"), (PIM, "2", "b")], "kind string, ref string, f string")
     new = spark.createDataFrame([(PIM, "1", "a"), (PIM, "2", "c"), (PIM, "3", "d")], "kind string, ref string, f string")
     assert sorted(r.ref for r in watched(new, old, ["f"]).collect()) == ["2", "3"] and watched(new, old, []).count() == 3
+    tied = spark.createDataFrame([(PIM, "1", 5, "a"), (PIM, "1", 5, "b"), (PIM, "1", 4, "c")], "kind string, ref string, ts long, f string")
+    assert [r.f for r in latest(tied).collect()] == ["b"]
+
+
+class Unlike:
+    """A backend whose vectors tell pictures by their mean colour."""
+
+    def __init__(self, settings):
+        self.dim = settings["dim"]
+
+    def embed_images(self, pictures):
+        return [[*(images.decode(p).mean(axis=(0, 1)) / 255 - 0.5).tolist(), *[0.01] * (self.dim - 3)] for p in pictures]
+
+    def info(self):
+        return ProviderInfo("u", self.dim)
+
+
+def test_pictures_from_bytes(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    grid = lambda: np.kron(rng.integers(0, 240, (12, 12, 3)), np.ones((9, 9, 1))).astype(np.uint8)
+    red, blue = grid(), grid()
+    red[..., 0] //= 4
+    blue[..., 2] //= 4
+    assert (images.decode(images.encode(red)) == red).all() and images.format_of(b"GIF89a") == ""
+    for filtered in (1, 3, 4):  # PNG with other line filters
+        assert (images.decode(png(red, filtered)) == red).all()
+    for bad in (b"", b"GIF89a", images.encode(red)[:60]):
+        with pytest.raises(ValueError):
+            images.decode(bad)
+    config = EngineConfig(embedding={"provider": "tests.test_engine.Unlike", "model": "u", "dim": 8})
+    rows = [dict(ref="1", name_by_lang={"en": "lamp"}, image_path_or_url="/p/1.png"), dict(ref="2", name_by_lang={"en": "kettle"}, image_path_or_url="http://a/2.png"), dict(ref="3", image_path_or_url="/p/3.png")]
+    source = CatalogSource(PIM, lambda s: items(s, rows).drop("kind"))
+    sent = {"http://a/q.png": images.encode(blue)}
+    engine = Engine(spark, Registry({PIM: source}), SnapshotStore(spark, str(tmp_path / "snap")), config, fetch=sent.__getitem__)
+    engine.backfill()
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "1.png").write_bytes(images.encode(red))
+    (tmp_path / "p" / "3.png").write_bytes(b"no picture")
+    paths = engine.registry.items(spark)
+    contents = images.stored_contents(spark, str(tmp_path / "p"), paths).unionByName(images.fetched_contents(paths, lambda url: images.encode(blue)))
+    contents = spark.createDataFrame(contents.collect(), contents.schema)
+    assert engine.refresh_images(contents).first().n_written == 2
+    assert engine.refresh_images(contents).count() == 0  # unchanged pictures are passed over
+    got = {r.ref: r for r in engine.fingerprints.collect()}
+    assert got["1"].phash == images.phash(red) and got["2"].vec_model == "u" and len(got["2"].image_vec) == 8 and got["3"].phash is None
+    raw = raw_queries(spark, [{"image_url": "http://a/q.png"}, {"name": "lamp"}]).withColumn("image", F.when(F.col("query_id") == 1, F.lit(images.encode(red))))
+    hits = {(r.query_id, r.rank): r for r in engine.search(raw).collect()}
+    assert hits[0, 1].ref == "2" and hits[0, 1].match_kind == "exact" and hits[1, 1].ref == "1" and hits[1, 1].match_kind == "exact"
+    checks = {r.name: r for r in engine.doctor(probe=(images.encode(red), images.encode(blue))).collect()}
+    assert all(checks[n].ok for n in ("settings", "provider", "discrimination", "worker", "dimension")), checks
+    assert not {r.name: r.ok for r in engine.doctor(probe=(images.encode(red), images.encode(red))).collect()}["discrimination"]
+    off = Engine(spark, engine.registry, engine.store, replace(config, image_enabled=False))
+    assert {r.query_id: r.warnings[-1] for r in off.search_answers(raw).collect()} == dict.fromkeys((0, 1), images.UNAVAILABLE)
+
+
+def png(rgb, how):
+    import numpy as np
+
+    h, w, _ = rgb.shape
+    x = rgb.reshape(h, -1).astype(int)
+    left, up = np.pad(x, ((0, 0), (3, 0)))[:, :-3], np.pad(x, ((1, 0), (0, 0)))[:-1]
+    corner = np.pad(up, ((0, 0), (3, 0)))[:, :-3]
+    p = left + up - corner
+    near = np.stack([abs(p - left), abs(p - up), abs(p - corner)]).argmin(axis=0)
+    guess = {1: left, 3: (left + up) // 2, 4: np.choose(near, [left, up, corner])}[how]
+    body = zlib.compress(np.concatenate((np.full((h, 1), how), (x - guess) & 255), axis=1).astype(np.uint8).tobytes())
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def test_hosted_backend():
+    asked, replies = [], []
+
+    def opened(url, timeout, data=None, headers=None):
+        asked.append((url, json.loads(data) if data else None))
+        status, head, body = replies.pop(0)
+        return status, head, lambda n=-1: body if n < 0 else body[:n]
+
+    settings = {"url": "http://inside/v", "model": "m", "dim": 2, "allowed_hosts": ["inside"], "api_key": "k"}
+    provider = HostedProvider(settings, opened, sleep=lambda s: None)
+    answer = lambda *v: (200, {}, json.dumps({"data": [{"index": i, "embedding": x} for i, x in v], "model": "m"}).encode())
+    replies += [(503, {}, b""), answer((1, [3, 4]), (0, [1, 2]))]
+    assert provider.embed_images([b"a", b"b"]) == [[1, 2], [3, 4]] and len(asked) == 2
+    replies += [answer(*((i, [i, 0]) for i in range(64))), answer((0, [9, 9]))]
+    assert len(HostedProvider(settings | {"concurrency": 1}, opened).embed_images([b"x"] * 65)) == 65
+    for bad in ([(503, {}, b"")] * 3, [(400, {}, b"")], [answer((0, [1]))], [(200, {}, b"{}")], [(200, {}, b"nope")]):
+        replies[:] = bad
+        with pytest.raises(EmbeddingError):
+            provider.embed_images([b"a"])
+    replies[:] = [answer((0, [1, 2]))]
+    assert provider.info() == ProviderInfo("m", 2) and provider.embed_images([]) == []
+    public = lambda url, allowed: check_url(url, allowed, lambda h: ["10.0.0.1"] if h == "inside" else ["8.8.8.8"])
+    get = lambda *r: (replies.__setitem__(slice(None), r), fetch_picture("http://a/x", opened=opened, checked=public, cap=10))[1]
+    assert get((302, {"Location": "/y"}, b""), (200, {"Content-Type": "image/png"}, b"123")) == b"123" and asked[-1][0] == "http://a/y"
+    for bad in ([(302, {"Location": "http://inside/"}, b"")], [(200, {"Content-Type": "text/html"}, b"")], [(200, {"Content-Type": "image/png"}, b"1" * 11)], [(404, {}, b"")], [(302, {"Location": "/y"}, b"")] * 9):
+        with pytest.raises(ValueError):
+            get(*bad)
 
 
 def test_images():
