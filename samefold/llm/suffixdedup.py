@@ -1,20 +1,23 @@
 """Suffix-array dedup: bytes covered by a WINDOW-byte string that also starts earlier are removed.
 
-Sorting every suffix of a corpus would move each byte WINDOW times. So suffixes are first divided:
-each window (string of WINDOW bytes) belongs to its leftmost smallest k-gram by hash, its anchor,
-which depends on the window's bytes alone. Equal windows have equal anchors. A run of windows with
-one anchor is an instance; its context is the bytes that its windows cover.
+Sorting every suffix of a corpus in one place would move each byte WINDOW times. So suffixes are dealt
+out first: each window (string of WINDOW bytes) belongs to its leftmost smallest k-gram by hash, its
+anchor, which depends on the window's bytes alone. Equal windows have equal anchors, so windows whose
+anchor nothing else has need no sorting. A run of windows with one anchor is an instance; its context
+is the bytes that its windows cover. Hashes only deal out and group; what is removed was found equal
+by the sorter, byte for byte.
 
 1. Instances (anchor, hash of the context, document, place) are range-partitioned and sorted. In a
-   stream, instances with an anchor of their own go; those with an anchor and context met before are
-   removed as a whole; if an anchor has several contexts, the first instance of each goes on. The
-   range includes document and place, so a passage of a third of all documents spreads out, and
-   what a partition's edge hides is one instance, which goes on in any case.
-2. Contexts that go on fetch their bytes. Tasks sort the suffixes of whole anchors by deep-shallow
-   sorting: multikey quicksort on words of eight bytes to SHALLOW bytes, after which all but the
-   suffixes with equally long common prefixes are told apart; blind tries order the rest. Suffixes
-   that agree in WINDOW bytes meet in a leaf, and all but the first are removed.
-3. An anchor with very many contexts (the edge of a passage that is everywhere) is split by context;
+   stream, instances with an anchor of their own go; the others ask for their bytes. The range
+   includes document and place, so a passage of a third of all documents spreads out; what a
+   partition's edge hides asks in any case. A context that is met very often in a partition sends its
+   later instances in chunks, each with a copy of the first one.
+2. Tasks sort the contexts of whole anchors, and then the suffixes of those that differ, by
+   deep-shallow sorting: multikey quicksort on words of eight bytes to SHALLOW bytes, then blind tries
+   for the groups whose common prefix is longer. In the suffix array that results, a suffix that
+   agrees with its neighbour in WINDOW bytes is a repeat; of each run of such the first by document
+   and place stays.
+3. An anchor with very many instances (the edge of a passage that is everywhere) is split by context;
    its parts name the first of each window, and these meet again by a hash of the window.
 
 Null texts are empty. Windows never cross documents. A null doc_id counts as smaller than any other;
@@ -29,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +43,11 @@ WINDOW = 100
 GRAM = 32
 SHALLOW = 64
 SPREAD = WINDOW - GRAM + 1
-#: Contexts that are sorted at once, at least; of one anchor and part, at most about HOT.
-BLOCK, HOT = 4_096, 8_192
+#: Contexts that are sorted at once, at least; of one anchor and part, at most about HOT. Instances of
+#: one context and partition beyond this go in chunks of this size.
+BLOCK, HOT, CHUNKED = 4_096, 8_192, 1_024
+#: Contexts of split anchors for each bucket in which their windows meet.
+BUCKET = 1 << 15
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 22
 
@@ -118,42 +125,67 @@ def instance_rows(docs: DataFrame) -> DataFrame:
     return arrow_map(keyed(docs).select("__ord", "__th", "text"), _INSTANCE, one)
 
 
-GONE, OPEN = 0, 1
-_STEP = "kind int, " + _INSTANCE
+_ASKED = _INSTANCE + ", chunk long"
 
 
 def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over instances sorted by (a, c, ord, place): those that go as a whole, and the first of each
-    context where the anchor has, or at the partition's edges may have, several."""
+    """Over instances sorted by (a, c, ord, place): those that share their anchor, or may at the
+    partition's edges. chunk: 0, or the number of the chunk that the instance goes to."""
     edge = None  # the partition's first anchor
-    held = None  # the last first instance, and whether the one before had its anchor
+    held = None  # rows of the last anchor, which may go on in the next batch
+    run, base = 0, TaskContext.get().partitionId() << 42
+    spent = (None, 0)  # the last context of rows sent already, and how many of them it has had
     for batch in batches:
         rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], axis=1)
         if edge is None:
             edge = rows[0, 0]
         if held is not None:
-            rows = np.concatenate((held[0][None, :], rows))
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        firsts = np.flatnonzero(new)
-        mine = firsts[np.cumsum(new) - 1]  # each row's first
-        gone = rows[~new & (rows[:, 2:] != rows[mine, 2:]).any(axis=1)]
-        f = rows[firsts]
-        same = f[1:, 0] == f[:-1, 0]
-        before = np.concatenate(([held[1] if held is not None else False], same))
-        several = before | np.concatenate((same, [False])) | (f[:, 0] == edge)
-        held = (f[-1], bool(before[-1]))
-        go_on = f[:-1][several[:-1]]
-        if len(gone) or len(go_on):
-            yield _step(gone, go_on)
+            rows = np.concatenate((held, rows))
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left"))
+        if cut == 0 and len(rows) >= 4 * CHUNKED:
+            cut = len(rows) - 2  # an anchor with very many instances: all but the last two go on
+        done, held = rows[:cut], rows[cut:]
+        if len(done):
+            out, run, spent = _shared(done, edge, held[0], run, base, spent)
+            if out is not None:
+                yield out
     if held is not None:
-        yield _step(np.empty((0, 4), np.int64), held[0][None, :])
-
-
-def _step(gone: np.ndarray, go_on: np.ndarray) -> pa.RecordBatch:
-    rows = np.concatenate((gone, go_on))
-    kind = np.concatenate((np.full(len(gone), GONE, np.int32), np.full(len(go_on), OPEN, np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4))], ["kind", "a", "c", "ord", "place"])
+        out, _, _ = _shared(held, edge, held[0], run, base, spent)  # the partition's last anchor
+        if out is not None:
+            yield out
+
+
+def _shared(rows: np.ndarray, edge: int, following: np.ndarray, run: int, base: int, spent: tuple):
+    first_of = np.ones(len(rows), bool)
+    first_of[1:] = rows[1:, 0] != rows[:-1, 0]
+    size = np.diff(np.append(np.flatnonzero(first_of), len(rows)))[np.cumsum(first_of) - 1]
+    keep = (size > 1) | (rows[:, 0] == edge) | (rows[:, 0] == following[0])
+    if spent[0] is not None:
+        keep |= rows[:, 0] == spent[0][0]
+    rows = rows[keep]
+    if not len(rows):
+        return None, run, spent
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    had = 0
+    if spent[0] is not None and (rows[0, :2] == spent[0][:2]).all():
+        new[0], had = False, spent[1]
+    starts = np.flatnonzero(new)
+    of = np.cumsum(new) - 1  # each row's context; -1: that of the batch before
+    at = np.arange(len(rows)) - np.where(of >= 0, starts[np.maximum(of, 0)] if len(starts) else 0, -had)
+    lead = rows[starts[np.maximum(of, 0)]] if len(starts) else np.repeat(spent[0][None, :], len(rows), axis=0)
+    if had:
+        lead[of < 0] = spent[0]
+    number = run + of + 1
+    chunk = np.where(at >= CHUNKED, base | number << 20 | at // CHUNKED, 0)
+    opens = chunk[1:] != chunk[:-1]
+    opens = np.flatnonzero((chunk != 0) & np.concatenate(([True], opens)))
+    copies, copied = lead[opens], chunk[opens]
+    out = np.concatenate((rows, copies))
+    cols = [pa.array(np.ascontiguousarray(out[:, k])) for k in range(4)]
+    last = starts[-1] if len(starts) else None
+    spent = (rows[last].copy(), len(rows) - int(last)) if last is not None else (spent[0], had + len(rows))
+    return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate((chunk, copied)))], ["a", "c", "ord", "place", "chunk"]), run + len(starts), spent
 
 
 # ---- deep-shallow sorting
@@ -208,106 +240,159 @@ class BlindTrie:
                 todo += [node[1][b] for b in sorted(node[1], reverse=True)]
 
 
-def equal_windows(buffer: bytes, starts: np.ndarray, window: int = WINDOW, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
-    """Classes of at least two suffixes (indexes into starts) that agree in `window` bytes."""
+def multikey_quicksort(words: np.ndarray, starts: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The strings at `starts` in the order of (group, first `shallow` bytes), and the segments of that
+    order that agree in all of them. words: the eight bytes from each place on, as a number.
+
+    Each round takes every unfinished segment, a pivot word for each (the median of three), and
+    parts the segment into smaller, equal and larger ones; equal ones go on eight bytes deeper."""
+    order = np.argsort(group, kind="stable")
+    dealt = group[order]
+    lo = np.concatenate(([0], np.flatnonzero(dealt[1:] != dealt[:-1]) + 1)) if len(order) else np.empty(0, np.int64)
+    size = np.diff(np.append(lo, len(order)))
+    depth = np.zeros(len(lo), np.int64)
+    live = size > 1
+    lo, size, depth = lo[live], size[live], depth[live]
+    deep: list[tuple[int, int]] = []
+    while len(lo):
+        off = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(lo)), size)
+        place = np.arange(len(of)) + (lo - off)[of]
+        who = order[place]
+        key = words[starts[who] + depth[of]].astype(np.uint64)
+        a, b, c = key[off], key[off + size // 2], key[off + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[of]
+        less, equal = key < pivot, key == pivot
+        more = ~(less | equal)
+        n_less, n_equal = np.add.reduceat(less, off, dtype=np.int64), np.add.reduceat(equal, off, dtype=np.int64)
+
+        def rank(part: np.ndarray, off=off, of=of) -> np.ndarray:
+            before = np.cumsum(part) - part
+            return before - before[off][of]
+
+        to = lo[of] + np.where(less, rank(less), np.where(equal, n_less[of] + rank(equal), (n_less + n_equal)[of] + rank(more)))
+        order[to] = who
+        finished = depth + 8 >= shallow
+        tied = finished & (n_equal > 1)
+        deep += zip((lo + n_less)[tied].tolist(), n_equal[tied].tolist(), strict=True)
+        n_more = size - n_less - n_equal
+        lo, size, depth = (
+            np.concatenate((lo, (lo + n_less)[~finished], lo + n_less + n_equal)),
+            np.concatenate((n_less, n_equal[~finished], n_more)),
+            np.concatenate((depth, depth[~finished] + 8, depth)),
+        )
+        live = size > 1
+        lo, size, depth = lo[live], size[live], depth[live]
+    return order, deep
+
+
+def deep_shallow(buffer: bytes, starts: np.ndarray, sizes: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """The strings in order within their groups, and whether each equals the one before it. Strings of a
+    group have one size, `shallow` at least."""
     padded = np.frombuffer(buffer + b"\0" * 8, np.uint8)
     words = np.ndarray((len(padded) - 7,), ">u8", padded.data, 0, (1,))
-    live, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    depth = 0
-    while depth + 8 <= shallow and len(live):  # multikey quicksort: by the next word, group by group
-        key = words[starts[live] + depth].astype(np.uint64)
-        order = np.lexsort((key, group))
-        live, key, group = live[order], key[order], group[order]
-        edge = np.ones(len(live) + 1, bool)
-        edge[1:-1] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        tied = ~(edge[:-1] & edge[1:])
-        group = np.cumsum(edge[:-1])[tied]
-        live = live[tied]
-        depth += 8
-    if not len(live):
-        return
-    cut = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(live)]))
-    at = starts[live].tolist()
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        trie = BlindTrie(window - depth)
-        for k in range(a, b):
-            trie.put(buffer[at[k] + depth : at[k] + window], k)
+    order, deep = multikey_quicksort(words, starts, group, shallow)
+    same = np.zeros(len(order), bool)
+    for lo, n in deep:
+        who = order[lo : lo + n].tolist()
+        size = int(sizes[who[0]])
+        trie = BlindTrie(size - shallow)
+        for k in who:
+            at = int(starts[k])
+            trie.put(buffer[at + shallow : at + size], k)
+        at = lo
         for leaf in trie.leaves():
-            if len(leaf) > 1:
-                yield live[leaf]
+            order[at : at + len(leaf)] = leaf
+            same[at + 1 : at + len(leaf)] = True
+            at += len(leaf)
+    return order, same
 
 
-_CUT = "ord long, tag int, start long, stop long, bucket int, packed binary"
-#: Buckets of the windows that the parts of a split anchor name.
-BUCKETS = 256
+def repeats(order: np.ndarray, same: np.ndarray, *rank: np.ndarray) -> np.ndarray:
+    """Of each run of equal strings all but the least by rank (the last array counts most)."""
+    run = np.cumsum(~same)
+    tied = same.copy()
+    tied[:-1] |= same[1:]
+    who, run = order[tied], run[tied]
+    by = np.lexsort((*(r[who] for r in rank), run))
+    who, run = who[by], run[by]
+    return who[np.concatenate(([False], run[1:] == run[:-1]))] if len(who) else who
 
 
-def _cuts(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _CUT.split(", ")])
+_CUT = "ord long, tag int, start long, stop long, bucket long, packed binary"
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-    return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
+def _cuts(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _CUT.split(", ")])
 
 
-def sort_block(rows: list[tuple]) -> list[tuple]:
-    """Of contexts (a, salt, salts, c, ord, place, bytes), sorted: what to cut, and for split anchors
-    the first of each window, packed by bucket."""
+def sort_block(keys: np.ndarray, texts: list[bytes], buckets: int) -> list[tuple]:
+    """Of contexts (a, salt, salts, ord, place) and their bytes, whole groups (a, salt): what to cut, and
+    for split anchors the first of each window, packed by bucket. A chunk (salt under 0) has its
+    first instance with it; the windows of a context that differs from that one stay."""
     out: list[tuple] = []
-    first = rows[:1]
-    for r in rows[1:]:
-        if (r[0], r[3]) != (first[-1][0], first[-1][3]):
-            first.append(r)
-        elif r[4:6] != first[-1][4:6]:  # a whole context again
-            lo = int(_first(r[5]))
-            out.append((r[4], r[5] >> 48, lo, lo + (r[5] & 255) + WINDOW, None, None))
-    sizes = np.array([(r[5] & 255) + 1 for r in first])
-    base = np.concatenate(([0], np.cumsum([len(r[6]) for r in first])))[:-1]
-    owner = np.repeat(np.arange(len(first)), sizes)
-    shift = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    size = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(size) - size
+    buffer = b"".join(texts)
+    new = np.concatenate(([True], (keys[1:, :2] != keys[:-1, :2]).any(axis=1)))
+    group = np.cumsum(new)
+    ords, places = keys[:, 3], keys[:, 4]
+    tags, low = places >> 48, _first(places)
+    order, same = deep_shallow(buffer, base, size, group * 512 + size)  # a context has under 512 bytes
+    whole = np.zeros(len(texts), bool)
+    whole[again := repeats(order, same, low, tags, ords)] = True
+    # copies of one instance (of a chunk's first one, or of a repeated row) aren't repeats of it
+    out += [(int(ords[k]), int(tags[k]), int(low[k]), int(low[k] + size[k]), None, None) for k in again.tolist() if not _copy(k, keys)]
+    kept = np.flatnonzero(~whole & (keys[:, 1] >= 0))
+    if not len(kept):
+        return out
+    n = size[kept] - WINDOW + 1
+    owner = np.repeat(kept, n)
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     starts = base[owner] + shift
-    buffer = b"".join(r[6] for r in first)
-    ords, places = np.array([r[4] for r in first], np.int64), np.array([r[5] for r in first], np.int64)
-    low = _first(places)
+    at = low[owner] + shift
+    order, same = deep_shallow(buffer, starts, np.full(len(starts), WINDOW), group[owner])
     gone = np.zeros(len(starts), bool)
-    tags = places >> 48
-    for members in equal_windows(buffer, starts):
-        o = owner[members]
-        order = np.lexsort((low[o] + shift[members], tags[o], ords[o]))
-        gone[members[order[1:]]] = True
-    at = 0
-    for k, size in enumerate(sizes.tolist()):
-        flags = gone[at : at + size]
-        if flags.any():
-            lo = int(low[k])
-            out += [(int(ords[k]), int(tags[k]), lo + a, lo + b - 1 + WINDOW, None, None) for a, b in _runs(flags)]
-        at += size
-    split = np.array([r[2] > 1 for r in first])
-    named = np.flatnonzero(~gone & split[owner])
+    gone[repeats(order, same, at, tags[owner], ords[owner])] = True
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))) | np.concatenate((shift == 0, [True])))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if gone[a]:
+            k = owner[a]
+            out.append((int(ords[k]), int(tags[k]), int(at[a]), int(at[b - 1]) + WINDOW, None, None))
+    named = np.flatnonzero(~gone & (keys[owner, 2] > 1))
     if len(named):
-        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(buffer[s : s + WINDOW]) for s in starts[named].tolist()), np.uint64).reshape(-1, 2)
+        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(buffer[x : x + WINDOW]) for x in starts[named].tolist()), np.uint64).reshape(-1, 2)
         o = owner[named]
-        table = np.stack([h[:, 0].view(np.int64), h[:, 1].view(np.int64), ords[o], tags[o], low[o] + shift[named]], axis=1)
-        bucket = (h[:, 0] % np.uint64(BUCKETS)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        out += [(0, 0, 0, 0, b, np.ascontiguousarray(table[order[edges[b] : edges[b + 1]]]).tobytes()) for b in range(BUCKETS) if edges[b] < edges[b + 1]]
+        table = np.stack([h[:, 0].view(np.int64), h[:, 1].view(np.int64), ords[o], tags[o], at[named]], axis=1)
+        bucket = (h[:, 0] % np.uint64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        bucket, table = bucket[by], table[by]
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        out += [(0, 0, 0, 0, int(bucket[x]), table[x:y].tobytes()) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
     return out
 
 
-def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over contexts sorted by (a, salt, c, ord, place): blocks end between anchors (or their parts)."""
-    block: list[tuple] = []
+def _copy(k: int, keys: np.ndarray) -> bool:
+    """Whether the row before, of rows sorted by (a, salt, ord, place), is the same instance."""
+    return k > 0 and bool((keys[k, [0, 1, 3, 4]] == keys[k - 1, [0, 1, 3, 4]]).all())
+
+
+def sort_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Over contexts sorted by (a, salt, ord, place): blocks end between groups (a, salt)."""
+    keys, texts = np.empty((0, 5), np.int64), []
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(block) >= BLOCK and r[:2] != block[-1][:2]:
-                if out := sort_block(block):
+        more = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)
+        keys = np.concatenate((keys, more))
+        texts += batch.column(5).to_pylist()
+        if len(keys) >= BLOCK:
+            ends = np.flatnonzero((keys[1:, :2] != keys[:-1, :2]).any(axis=1))
+            if len(ends):
+                cut = int(ends[-1]) + 1
+                if out := sort_block(keys[:cut], texts[:cut], buckets):
                     yield _cuts(out)
-                block = []
-            block.append(r)
-    if block and (out := sort_block(block)):
+                keys, texts = keys[cut:], texts[cut:]
+    if len(keys) and (out := sort_block(keys, texts, buckets)):
         yield _cuts(out)
 
 
@@ -339,35 +424,38 @@ def cuts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     order = ["a", "c", "ord", "place"]
     rows = instance_rows(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    step = staged(rows.mapInArrow(sift, _STEP), "instances")
-    lo = F.shiftright("place", 8).bitwiseAND(F.lit((1 << 40) - 1))
-    gone = step.where(F.col("kind") == GONE).select(
-        "ord", F.shiftright("place", 48).cast("int").alias("tag"), lo.alias("start"), (lo + F.col("place").bitwiseAND(F.lit(255).cast("long")) + WINDOW).alias("stop"),
-    )
-    open_ = step.where(F.col("kind") == OPEN).drop("kind")
-    hot = open_.groupBy("a").count().where(F.col("count") > HOT).select("a", F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
-    open_ = open_.join(hot, "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    open_ = open_.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("c"), "salts").cast("int")).otherwise(0))
-    asked = open_.groupBy("ord", F.shiftright("place", 48).cast("int").alias("tag")).agg(F.collect_list(F.struct("a", "salt", "salts", "c", "place")).alias("asked"))
+    step = staged(rows.mapInArrow(sift, _ASKED), "instances")
+    single = step.where("chunk = 0")
+    hot = single.groupBy("a").count().where(F.col("count") > HOT).select("a", F.ceil(F.col("count") / HOT).cast("long").alias("salts"))
+    buckets = max(1, -(-(hot.agg(F.sum("salts")).first()[0] or 0) * HOT // BUCKET))
+    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("c"), "salts")).otherwise(F.lit(0).cast("long"))
+    asked = single.join(hot, "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))).select("a", salt.alias("salt"), "salts", "ord", "place")
+    asked = asked.unionByName(step.where("chunk <> 0").select("a", (-F.col("chunk")).alias("salt"), F.lit(1).cast("long").alias("salts"), "ord", "place"))
+    asked = asked.groupBy("ord", F.shiftright("place", 48).cast("int").alias("tag")).agg(F.collect_list(F.struct("a", "salt", "salts", "place")).alias("asked"))
 
     def fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for o, asked_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        lists = batch.column(1)
+        n = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        a, salt, salts, place = (flat.field(k) for k in range(4))
+        at = place.to_numpy(zero_copy_only=False)
+        lo, hi = _first(at), _first(at) + (at & 255) + WINDOW
+        parts, k = [], 0
+        for text, m in zip(batch.column(2).to_pylist(), n.tolist(), strict=True):
             data = utf8(text)
-            for q in asked_:
-                at = int(_first(q["place"]))
-                rows.append((q["a"], q["salt"], q["salts"], q["c"], o, q["place"], data[at : at + (q["place"] & 255) + WINDOW]))
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["a", "salt", "salts", "c", "ord", "place", "bytes"])
+            parts += [data[x:y] for x, y in zip(lo[k : k + m].tolist(), hi[k : k + m].tolist(), strict=True)]
+            k += m
+        ords = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
+        return pa.RecordBatch.from_arrays([a, salt, salts, pa.array(ords), place, pa.array(parts, pa.binary())], ["a", "salt", "salts", "ord", "place", "bytes"])
 
     with_text = tagged(docs).join(asked.hint("shuffle_hash"), ["ord", "tag"]).select("ord", "asked", "text")
-    contexts = arrow_map(with_text, "a long, salt int, salts int, c long, ord long, place long, bytes binary", fetch)
-    placed = contexts.repartition("a", "salt").sortWithinPartitions("a", "salt", "c", "ord", "place")
-    found = staged(placed.mapInArrow(sort_blocks, _CUT), "sorted")
+    contexts = arrow_map(with_text, "a long, salt long, salts long, ord long, place long, bytes binary", fetch)
+    placed = contexts.repartition("a", "salt").sortWithinPartitions("a", "salt", "ord", "place")
+    found = staged(placed.mapInArrow(lambda b: sort_blocks(b, buckets), _CUT), "sorted")
     packed = found.where(F.col("packed").isNotNull()).select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
     settled = packed.mapInArrow(settle, _CUT)
     pick = ["ord", "tag", "start", "stop"]
-    return gone.unionByName(found.where(F.col("packed").isNull()).select(*pick)).unionByName(settled.select(*pick))
+    return found.where(F.col("packed").isNull()).select(*pick).unionByName(settled.select(*pick))
 
 
 def tagged(docs: DataFrame) -> DataFrame:

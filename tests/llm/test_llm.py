@@ -519,9 +519,11 @@ def long_texts():
     return out
 
 
-@pytest.mark.parametrize("hot", [8192, 6])
-def test_suffix_dedup(spark, tmp_path, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "chunked"), [(8192, 1024), (6, 1024), (6, 3)])
+def test_suffix_dedup(spark, tmp_path, monkeypatch, hot, chunked):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
+    monkeypatch.setattr(suffixdedup, "CHUNKED", chunked)
+    monkeypatch.setattr(suffixdedup, "BUCKET", 64)
     monkeypatch.setattr(suffixdedup, "BLOCK", 50)
     rows = long_texts()
     df = frame(spark, rows)
@@ -542,6 +544,34 @@ def test_blind_trie_orders():
     assert sorted(k for x in leaves for k in x) == list(range(80)) and all(len({strings[k] for k in x}) == 1 for x in leaves)
 
 
+def test_deep_shallow_orders():
+    rng = random.Random(3)
+    for alphabet in (b"ab", b"abcdefgh", bytes(range(256))):
+        buffer = bytes(rng.choices(alphabet, k=400)) * 3 + b"\xff" * 150 + b"\0" * 150
+        starts = np.array(rng.sample(range(len(buffer) - 100), 900))
+        group = np.array([rng.randrange(3) for _ in starts])
+        order, same = suffixdedup.deep_shallow(buffer, starts, np.full(len(starts), 100), group)
+        key = lambda k: (group[k], buffer[starts[k] : starts[k] + 100])  # noqa: B023, E731
+        got = [key(k) for k in order]
+        assert sorted(order.tolist()) == list(range(len(starts))) and got == sorted(got)
+        assert same.tolist() == [False, *(x == y for x, y in zip(got, got[1:]))]
+        again = suffixdedup.repeats(order, same, starts)
+        first = {}
+        for k in sorted(range(len(starts)), key=lambda k: starts[k]):  # noqa: B023
+            first.setdefault(key(k), k)
+        assert set(again.tolist()) == set(range(len(starts))) - set(first.values())
+
+
+def test_suffix_dedup_of_one_passage_everywhere(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "CHUNKED", 8)
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=700))
+    rows = [f"{''.join(rng.choices('ijkl ', k=rng.randint(0, 120)))}{passage[rng.choice((0, 0, 0, 50)) :]}{k % 7}" for k in range(120)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.query(spark, str(tmp_path)).collect() if r.doc_id is not None}
+    assert got == bytes_truth(dict(enumerate(rows)))
+
+
 def test_suffix_dedup_empty(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert suffixdedup.query(spark, str(tmp_path)).count() == 0
