@@ -3,14 +3,17 @@
 1. Each text becomes the set of its five-word shingles, a fingerprint of the set, and a signature of
    `TREES` paths of `DEPTH` min-hashes. Texts with one set are copies: one of them goes on.
 2. Each path is a leaf of its tree. Rows are range-partitioned and sorted by path, so a tree is a
-   sorted array and a subtree is a run of rows with a common prefix. Prefixes are shortened from
-   the full depth until the chance that a pair at the threshold meets in some tree reaches
-   `RECALL`: depth 4 of 5, where it is 0.9998.
+   sorted array and a subtree is a run of rows with a common prefix. Matched prefixes start at the full
+   depth and are shortened: for every row until a pair at the threshold meets in some tree with the
+   chance RECALL (depth 4 of 5: 0.9998), and further where there are signs of pairs near the threshold.
+   A subtree in which a similarity between NEAR[0] and NEAR[1] was estimated has its prefix shortened
+   until that chance is NEAR_RECALL (depth 3: 0.99999); elsewhere pairs are far above the threshold,
+   and surer to have met already, or below it.
 3. A stream over a subtree keeps a few leaders. A row is linked to each leader whose signature isn't
    clearly too far for a partner of the row to be close to it, and becomes a leader if none is
    close. Of the near leaders, one of each component is linked, so a subtree of n rows gives fewer
-   than n links, however many pairs it has. Subtrees that a
-   partition's edge cuts are joined through their leaders.
+   than n links, however many pairs it has. Where a prefix is shortened, the leaders of the subtrees
+   below it meet in the same way. Subtrees that a partition's edge cuts are joined through their leaders.
 4. Components of these links are verified exactly: all pairs within a component are compared by
    their shingle sets, in tiles of at most about two thousand texts, of which each task holds one.
    A tile returns each text's number of links and a spanning forest of them, never the pairs.
@@ -41,6 +44,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 5
 RECALL = 0.999
+#: Estimated similarities (a threshold of 0.8, errors of 3 sigma below and 1 above) that shorten a prefix,
+#: and the chance it is shortened to.
+NEAR, NEAR_RECALL = (0.65, 0.85), 0.9999
 #: A row with an estimate of TIGHT to a leader is no leader; it is linked to those of LOOSE and more.
 #: With J(x, y) >= 0.8 and x at TIGHT to a leader, y is at 0.35 at least, errors of 3 sigma included.
 TIGHT, LOOSE = 0.8, 0.35
@@ -90,9 +96,9 @@ def signature(x: np.ndarray) -> np.ndarray:
     return (best & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL, longest: int | None = None) -> int:
     """The longest prefix, shortened from `depth`, with which a pair at the threshold is found."""
-    for k in range(depth, 0, -1):
+    for k in range(min(depth, longest or depth), 0, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
     raise ValueError(f"{trees} trees can't reach a recall of {recall} at {threshold}")
@@ -117,8 +123,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return arrow_map(keyed(docs).select("__ord", "__th", "text"), "ord long, th long, fp binary, n long, sig binary", one)
 
 
-def leaves(reps: DataFrame, depth: int) -> DataFrame:
-    """tree, path (the prefix), deep (the rest of the path), fp, bits (4 bits of each min-hash)."""
+def leaves(reps: DataFrame, short: int, depth: int) -> DataFrame:
+    """tree, path (the shortest prefix), child (the rest of the usual prefix), deep (the rest of the path),
+    fp, bits (4 bits of each min-hash)."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
@@ -126,19 +133,21 @@ def leaves(reps: DataFrame, depth: int) -> DataFrame:
         low = (sig.reshape(n, -1) & 15).astype(np.uint8)
         bits = (low[:, ::2] << 4 | low[:, 1::2]).tobytes()
         width = TREES * DEPTH // 2
-        paths = sig[:, :, :depth].astype(">u2").tobytes()
-        deep = np.zeros((n, TREES), np.int64)
+        paths = sig[:, :, :short].astype(">u2").tobytes()
+        child, deep = np.zeros((n, TREES), np.int64), np.zeros((n, TREES), np.int64)
+        for k in range(short, depth):
+            child = child << 16 | sig[:, :, k]
         for k in range(depth, DEPTH):
             deep = deep << 16 | sig[:, :, k]
         who = np.repeat(np.arange(n), TREES)
         fps = batch.column(0).take(pa.array(who))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array([paths[2 * depth * i : 2 * depth * (i + 1)] for i in range(n * TREES)], pa.binary()),
-             pa.array(deep.ravel()), fps, pa.array([bits[width * i : width * (i + 1)] for i in who.tolist()], pa.binary())],
-            ["tree", "path", "deep", "fp", "bits"],
+            [pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), pa.array([paths[2 * short * i : 2 * short * (i + 1)] for i in range(n * TREES)], pa.binary()),
+             pa.array(child.ravel()), pa.array(deep.ravel()), fps, pa.array([bits[width * i : width * (i + 1)] for i in who.tolist()], pa.binary())],
+            ["tree", "path", "child", "deep", "fp", "bits"],
         )
 
-    return arrow_map(reps.select("fp", "sig"), "tree int, path binary, deep long, fp binary, bits binary", one)
+    return arrow_map(reps.select("fp", "sig"), "tree int, path binary, child long, deep long, fp binary, bits binary", one)
 
 
 def _nibbles(bits: bytes) -> np.ndarray:
@@ -146,11 +155,17 @@ def _nibbles(bits: bytes) -> np.ndarray:
     return np.concatenate((b >> 4, b & 15))
 
 
+def _bits(sig: np.ndarray) -> bytes:
+    half = len(sig) // 2
+    return (sig[:half] << 4 | sig[half:]).tobytes()
+
+
 class Leaders:
     """Of one subtree."""
 
     def __init__(self):
         self.fps: list[bytes] = []
+        self.near: list[bool] = []  # of each leader: whether it, or a row close to it, may have partners near the threshold
         self.part: list[int] = []  # of each leader: a leader nearer the root of its component
         self.sigs = np.empty((8, TREES * DEPTH), np.uint8)
 
@@ -159,80 +174,158 @@ class Leaders:
             self.part[k] = k = self.part[self.part[k]]
         return k
 
-    def meet(self, fp: bytes, sig: np.ndarray, tight: float, loose: float) -> list[bytes]:
+    def _estimates(self, sig: np.ndarray) -> np.ndarray:
+        # a share of 1/16 of four-bit values agree by chance
+        return ((self.sigs[: len(self.fps)] == sig).mean(axis=1) - 1 / 16) * (16 / 15)
+
+    def _joined(self, ks: list[int]) -> list[int]:
+        """One of each component of the given leaders, which are one component from now on."""
+        roots = sorted({self._root(k) for k in ks})
+        for k in roots[1:]:
+            self.part[k] = roots[0]
+        return roots
+
+    def _lead(self, fp: bytes, sig: np.ndarray, near: bool, root: int | None) -> None:
+        n = len(self.fps)
+        if n == len(self.sigs):
+            self.sigs = np.concatenate((self.sigs, np.empty_like(self.sigs)))
+        self.sigs[n] = sig
+        self.fps.append(fp)
+        self.near.append(near)
+        self.part.append(n if root is None else root)
+
+    def meet(self, fp: bytes, sig: np.ndarray, tight: float, loose: float, near: bool = False) -> list[bytes]:
         """Leaders to link a row with, which may become one: of those near enough, one of each
         component, so the links of a subtree are a forest."""
-        n = len(self.fps)
-        linked, roots, close = [], [], False
-        if n:
-            # a share of 1/16 of four-bit values agree by chance
-            est = ((self.sigs[:n] == sig).mean(axis=1) - 1 / 16) * (16 / 15)
-            roots = sorted({self._root(k) for k in np.flatnonzero(est >= loose).tolist()})
-            linked = [self.fps[k] for k in roots]
-            for k in roots[1:]:
-                self.part[k] = roots[0]
-            close = bool(est.max() >= tight)
-        if not close:
-            if n == len(self.sigs):
-                self.sigs = np.concatenate((self.sigs, np.empty_like(self.sigs)))
-            self.sigs[n] = sig
-            self.fps.append(fp)
-            self.part.append(roots[0] if roots else n)
+        if not self.fps:
+            self._lead(fp, sig, near, None)
+            return []
+        est = self._estimates(sig)
+        between = np.flatnonzero((est >= NEAR[0]) & (est < NEAR[1])).tolist()
+        for k in between:
+            self.near[k] = True
+        near = near or bool(between)
+        roots = self._joined(np.flatnonzero(est >= loose).tolist())
+        linked = [self.fps[k] for k in roots]
+        if est.max() >= tight:
+            self.near[int(est.argmax())] |= near
+        else:
+            self._lead(fp, sig, near, roots[0] if roots else None)
         return linked
 
-
-_LINKS = "a binary, b binary, tree int, path binary, bits binary"
+    def gather(self, fp: bytes, sig: np.ndarray, near: bool, tight: float) -> list[bytes]:
+        """A leader of a subtree below: linked with one that is close, else kept for shortened()."""
+        est = self._estimates(sig) if self.fps else np.empty(0)
+        if len(est) and est.max() >= tight:
+            k = int(est.argmax())
+            self.near[k] |= near
+            return [self.fps[k]]
+        self._lead(fp, sig, near, None)
+        return []
+
+    def shortened(self, loose: float) -> list[tuple[bytes, bytes]]:
+        """Links of the gathered leaders that may have partners near the threshold with all that aren't
+        clearly too far."""
+        out = []
+        for k in [k for k, near in enumerate(self.near) if near]:
+            est = self._estimates(self.sigs[k])
+            est[k] = 0
+            own = self._root(k)
+            others = [r for r in sorted({self._root(x) for x in np.flatnonzero(est >= loose).tolist()}) if r != own]
+            out += [(self.fps[r], self.fps[k]) for r in others]
+            self._joined([k, *others])
+        return out
+
+
+_LINKS = "a binary, b binary, tree int, path binary, child long, bits binary, near boolean"
+_LEAVES = ["tree", "path", "child", "fp", "bits", "near"]
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+    types = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _LINKS.split(", ")])
 
 
 def subtree_links(batches: Iterator[pa.RecordBatch], tight: float, loose: float, edges: bool) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) within the subtrees of sorted rows (tree, path, fp, bits). With edges, also the
-    leaders of the partition's first and last subtree, as rows without b."""
-    key, first, leaders, waiting, out = None, True, None, None, []
-
-    def shut(final: bool) -> None:
-        if edges and (first or final):
-            group = leaders or Leaders()
-            if waiting:
-                group.meet(waiting[0], _nibbles(waiting[1]), tight, loose)
-            for fp, sig in zip(group.fps, group.sigs, strict=False):
-                half = len(sig) // 2
-                out.append((fp, None, *key, (sig[:half] << 4 | sig[half:]).tobytes()))
+    """Links (a, b) within the subtrees of sorted rows (tree, path, child, fp, bits, near). With edges,
+    also, as rows without b, the leaders of the partition's first and last subtree of the usual prefix
+    and (child -1) of the shortened one."""
+    key = child = leaders = waiting = above = below = None
+    first_child = first_key = True
+    out: list[tuple] = []
+
+    def told(group: Leaders, of: int) -> None:
+        out.extend((fp, None, *key, of, _bits(sig), near) for fp, sig, near in zip(group.fps, group.sigs, group.near, strict=False))
+
+    def link(pairs) -> None:
+        out.extend((a, b, key[0], None, None, None, None) for a, b in pairs if a != b)
+
+    def shut_child(final: bool) -> None:
+        """The child's leaders go to the subtree above, once that has a second child."""
+        nonlocal above, below, first_child
+        group = leaders
+        if group is None:
+            group = Leaders()
+            group.meet(waiting[0], _nibbles(waiting[1]), tight, loose, waiting[2])
+        if edges and (first_child or final):
+            told(group, child)
+        first_child = False
+        if below is None:
+            below = group
+            return
+        if above is None:
+            above = Leaders()
+            for fp, sig, near in zip(below.fps, below.sigs, below.near, strict=False):
+                link((x, fp) for x in above.gather(fp, sig, near, tight))
+        for fp, sig, near in zip(group.fps, group.sigs, group.near, strict=False):
+            link((x, fp) for x in above.gather(fp, sig, near, tight))
+
+    def shut_key(final: bool) -> None:
+        nonlocal above, below, first_key
+        if above is not None:
+            link(above.shortened(loose))
+        if edges and (first_key or final):
+            told(above or below, -1)
+        above = below = None
+        first_key = False
 
     for batch in batches:
-        for tree, path, fp, bits in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if (tree, path) != key:
-                if key is not None:
-                    shut(False)
-                    first = False
-                key, leaders, waiting = (tree, path), None, (fp, bits)
+        for tree, path, c, fp, bits, near in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if (tree, path) != key or c != child:
+                if key is not None and (tree, path) != key and below is None and leaders is None and not first_child:
+                    above = below = None  # a row alone in its subtree, as most are
+                elif key is not None:
+                    shut_child(False)
+                    if (tree, path) != key:
+                        shut_key(False)
+                key, child, leaders, waiting = (tree, path), c, None, (fp, bits, near)
                 continue
             if leaders is None:  # most subtrees have one row, and then none is made
                 leaders = Leaders()
-                leaders.meet(waiting[0], _nibbles(waiting[1]), tight, loose)
+                leaders.meet(waiting[0], _nibbles(waiting[1]), tight, loose, waiting[2])
                 waiting = None
-            out += [(a, fp, tree, None, None) for a in leaders.meet(fp, _nibbles(bits), tight, loose) if a != fp]
+            link((x, fp) for x in leaders.meet(fp, _nibbles(bits), tight, loose, near))
         if len(out) > 4096:
             yield _links(out)
             out.clear()
     if key is not None:
-        shut(True)
+        shut_child(True)
+        shut_key(True)
     if out:
         yield _links(out)
 
 
 def candidate_links(reps: DataFrame) -> DataFrame:
     """a, b: links whose components hold every pair that meets in a tree and may be close enough."""
-    order = ["tree", "path", "deep", "fp"]
-    rows = leaves(reps, prefix_depth())
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "path", "fp", "bits")
+    order = ["tree", "path", "child", "deep", "fp"]
+    depth = prefix_depth()
+    short = min(depth, prefix_depth(recall=NEAR_RECALL, longest=depth - 1))
+    rows = leaves(reps, short, depth).withColumn("near", F.lit(False))
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*_LEAVES)
     found = staged(sorted_rows.mapInArrow(lambda b: subtree_links(b, TIGHT, LOOSE, True), _LINKS), "links")
     # leaders of subtrees at partition edges: few for each partition; x ~ leader ~ leader ~ y may be further apart
-    ends = found.where("b IS NULL").select("tree", "path", F.col("a").alias("fp"), "bits").repartition("tree", "path").sortWithinPartitions("tree", "path", "fp")
+    ends = found.where("b IS NULL").select("tree", "path", "child", F.col("a").alias("fp"), "bits", "near")
+    ends = ends.repartition("tree", "path").sortWithinPartitions("tree", "path", "child", "fp").select(*_LEAVES)
     across = ends.mapInArrow(lambda b: subtree_links(b, TIGHT, LOOSE / 2, False), _LINKS)
     links = found.where("b IS NOT NULL").select("a", "b").unionByName(across.select("a", "b"))
     # a row has a few leaders in each tree; it keeps its smallest one, which takes over its other links.

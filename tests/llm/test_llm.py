@@ -12,6 +12,7 @@ from itertools import combinations
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from samefold.llm import decontaminate, langid, licenses, linededup, neardup, packing, quality, secrets, suffixdedup, toxicity
@@ -182,6 +183,48 @@ def test_prefix_depth():
         neardup.prefix_depth(trees=1, recall=0.999)
 
 
+def planted_pairs(rng, n, shared, own):
+    """Texts of `shared` common shingles and `own` more on each side: a similarity of shared / (shared + 2 own)."""
+    out = []
+    for k in range(n):
+        word = lambda tag, i: f"{tag}{k}x{i}x{rng.randrange(10**6)}"  # noqa: B023, E731
+        common = [word("c", i) for i in range(shared + 4)]
+        out += [" ".join([*common, *(word(side, i) for i in range(own))]) for side in "ab"]
+    return out
+
+
+@pytest.mark.parametrize(("shared", "own"), [(80, 10), (90, 7)])
+def test_ngram_join_finds_pairs_at_the_threshold(spark, shared, own):
+    rows = planted_pairs(random.Random(shared), 300, shared, own)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(df).collect()}
+    assert got == {k: (k // 2 * 2, 1) for k in range(len(rows))}
+
+
+def test_prefixes_are_shortened_where_pairs_are_near_the_threshold():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 16, neardup.TREES * neardup.DEPTH).astype(np.uint8)
+
+    def moved(share, base=sig):
+        out = base.copy()
+        at = rng.permutation(len(out))[: int(share * len(out))]
+        out[at] = (out[at] + 1) % 16
+        return out
+
+    def links(*rows):  # (child, name, signature) of one shortened prefix
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([0] * len(rows), pa.int32()), pa.array([b"p"] * len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]),
+             pa.array([neardup._bits(r[2]) for r in rows]), pa.array([False] * len(rows))], neardup._LEAVES)
+        found = neardup.subtree_links(iter([batch]), neardup.TIGHT, neardup.LOOSE, False)
+        return {(a, b) for out in found for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+
+    far, tight = moved(0.25), moved(0.02)
+    assert links((1, b"x", sig), (2, b"y", far)) == set()  # no sign of such pairs below: the prefix stays
+    assert links((1, b"x", sig), (1, b"z", far), (2, b"y", moved(0.25))) >= {(b"x", b"z")}
+    assert any(b"y" in pair for pair in links((1, b"x", sig), (1, b"z", far), (2, b"y", moved(0.25))))
+    assert links((1, b"x", sig), (1, b"z", tight), (2, b"y", far)) == {(b"x", b"z")}
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(40)]
