@@ -23,6 +23,8 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +59,10 @@ _BYTE = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})
 _SIMPLE = dict(zip("0abfnrtv\\'\"", "\0\a\b\f\n\r\t\v\\'\"", strict=True))
 _MARK = re.compile(r"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\0|[\x08\x18\x28\x38\x48\x58\x68\x78][\0-\xff]")
 _NOT_BYTE = re.compile(r"[^\0-\xff]")
-#: A compressed token that unpacks to more bytes than this is a bomb and stays as it is.
-MAX_UNPACKED = 256 << 20
+#: What unpacks to more bytes than this is scanned in windows, each of which begins with the last OVERLAP
+#: bytes of the one before. All that is found in such a layer maps to the whole token, so the windows find
+#: what the whole would; only an encoded token longer than OVERLAP may be cut inside it.
+MAX_UNPACKED, OVERLAP = 64 << 20, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -163,9 +167,78 @@ def _unpacker(raw: bytes):
     return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\x00" else None
 
 
+class _Large(Exception):
+    """It unpacks to over MAX_UNPACKED bytes."""
+
+
+def _inflating(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """One compression layer less of a stream of bytes, in parts of bounded size; its end where the
+    streams in it end or break."""
+    held, unpack, step = b"", None, 1 << 20
+    for part in parts:
+        held += part
+        while held:
+            if unpack is None:
+                if len(held) < 6:
+                    break
+                unpack = _unpacker(held[:6])
+                if unpack is None:
+                    return
+            try:
+                yield unpack.decompress(held, step)
+                if hasattr(unpack, "unconsumed_tail"):
+                    held = unpack.unconsumed_tail
+                else:
+                    held = b""
+                    while not unpack.eof and not unpack.needs_input:
+                        yield unpack.decompress(b"", step)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                return
+            if unpack.eof:
+                held, unpack = unpack.unused_data, None
+
+
+def _windows(raw: bytes) -> Iterator[bytes]:
+    """All that raw unpacks to, through every layer, in windows."""
+    parts, layered = iter([raw]), True
+    while layered:
+        head = b""
+        for part in parts:
+            head += part
+            if len(head) >= 6:
+                break
+        layered = _unpacker(head[:6]) is not None
+        parts = _inflating(chain([head], parts)) if layered else chain([head], parts)
+    window: list[bytes] = []
+    size = 0
+    for part in parts:
+        window.append(part)
+        size += len(part)
+        if size >= MAX_UNPACKED:
+            whole = b"".join(window)
+            yield whole
+            window = [whole[-OVERLAP:]]
+            size = len(window[0])
+    if window:
+        yield b"".join(window)
+
+
+def _unpacked(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """What raw is after all its compression layers, and how many there were; in windows if it is large."""
+    packed, n = raw, 0
+    try:
+        while (more := _inflated(packed)) is not None:
+            packed, n = more[0], n + 1
+    except _Large:
+        for window in _windows(raw):
+            yield window, max(n, 1)
+        return
+    yield packed, n
+
+
 def _inflated(raw: bytes) -> tuple[bytes, int] | None:
     """One compression layer less and the bytes it took, all streams that follow one another
-    together, or None if there is none (or it unpacks beyond MAX_UNPACKED)."""
+    together, or None if there is none. _Large if it is beyond MAX_UNPACKED."""
     out, size, at = [], 0, 0
     while (unpack := _unpacker(raw[at : at + 6])) is not None:
         end, step = at, 4096
@@ -175,7 +248,7 @@ def _inflated(raw: bytes) -> tuple[bytes, int] | None:
                 out.append(part)
                 size += len(part)
                 if size > MAX_UNPACKED:
-                    return None
+                    raise _Large
                 end, step = min(len(raw), end + step), step * 2
         except (zlib.error, OSError, lzma.LZMAError, EOFError):
             break
@@ -230,27 +303,30 @@ def _tokens(layer: Layer):
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        how: tuple[str, ...] = ("base64",)
-        packed, end = raw, len(m[0])
-        if wrapped and (more := _inflated(raw)) is not None and (quads := -(-more[1] // 3) * 4) < len(body):
+        end = len(m[0])
+        try:
+            used = _inflated(raw) if wrapped else None
+        except _Large:
+            used = None
+        if used is not None and (quads := -(-used[1] // 3) * 4) < len(body):
             if place[quads - 1] < _GAP.search(m[0]).start():
                 continue  # it ends in the first line, a token of its own
             end = place[quads - 1] + 1
-        while (more := _inflated(packed)) is not None:
-            packed, how = more[0], (*how, "compressed")
-        for text, at in _texts(packed):
-            if len(how) > 1:
-                pieces = [(0, *layer.source(m.start(), m.start() + end), False)]
-            else:  # three bytes for four characters: a character maps to the quads its bytes lie in
-                pieces = []
-                for i in range(len(text)):
-                    a, b = at[i] // 3 * 4, -(-at[i + 1] // 3) * 4
-                    if place is None:
-                        b = min(len(m[0]), b)
-                    else:
-                        a, b = place[a], place[min(b, len(place)) - 1] + 1
-                    pieces.append((i, *layer.source(m.start() + a, m.start() + b), False))
-            yield text, pieces, how
+        for packed, n in _unpacked(raw):
+            how = ("base64", *["compressed"] * n)
+            for text, at in _texts(packed):
+                if n:
+                    pieces = [(0, *layer.source(m.start(), m.start() + end), False)]
+                else:  # three bytes for four characters: a character maps to the quads its bytes lie in
+                    pieces = []
+                    for i in range(len(text)):
+                        a, b = at[i] // 3 * 4, -(-at[i + 1] // 3) * 4
+                        if place is None:
+                            b = min(len(m[0]), b)
+                        else:
+                            a, b = place[a], place[min(b, len(place)) - 1] + 1
+                        pieces.append((i, *layer.source(m.start() + a, m.start() + b), False))
+                yield text, pieces, how
 
 
 def _byte(m: re.Match):
@@ -277,16 +353,18 @@ def _packed(layer: Layer):
             _unpacker(data.text[m.start() : m.start() + 6].encode("latin-1")).decompress(data.text[m.start() : min(end, m.start() + 512)].encode("latin-1"), 1 << 16)
         except (zlib.error, OSError, lzma.LZMAError, EOFError, AttributeError):
             continue
-        more = _inflated(data.text[m.start() : end].encode("latin-1"))
+        raw = data.text[m.start() : end].encode("latin-1")
+        try:
+            more = _inflated(raw)
+        except _Large:
+            more = b"", len(raw)
         if more is None:
             continue
         source = data.source(m.start(), m.start() + more[1])
-        at, how = m.start() + more[1], ("escape", "compressed")
-        packed = more[0]
-        while (more := _inflated(packed)) is not None:
-            packed, how = more[0], (*how, "compressed")
-        for text, _ in _texts(packed):
-            yield text, [(0, *source, False)], how
+        at = m.start() + more[1]
+        for packed, n in _unpacked(raw[: more[1]]):
+            for text, _ in _texts(packed):
+                yield text, [(0, *source, False)], ("escape", *["compressed"] * n)
 
 
 def layers(text: str):

@@ -1,8 +1,10 @@
 """Operators against brute force, on texts made to hold the awkward cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import textwrap
@@ -106,6 +108,42 @@ def test_secret_layers_in_common_forms():
         assert all(9 <= a < b <= 9 + len(token) for _, a, b in found - set(base)), token
 
 
+def test_secret_in_random_nests():
+    rng = random.Random(11)
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    wrap = lambda s: "\n".join(textwrap.wrap(s, rng.choice((60, 64, 76))))
+    packs = (gzip.compress, zlib.compress, bz2.compress, lzma.compress)
+    layers = [
+        lambda s: b64(s.encode()), lambda s: b64(s.encode()).replace("+", "-").replace("/", "_"), lambda s: wrap(b64(s.encode())),
+        lambda s: b64(rng.choice(packs)(s.encode())), lambda s: wrap(b64(rng.choice(packs)(rng.choice(packs)(s.encode())))), lambda s: b64(s.encode("utf-16")),
+        lambda s: "".join(f"%{b:02x}" for b in s.encode()), lambda s: quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
+        lambda s: "".join(f"%{b:02X}" for b in rng.choice(packs)(s.encode())),
+    ]
+    for _ in range(250):
+        secret = f"api_key={''.join(rng.choices('abcdefXYZ0123456789', k=rng.randint(8, 30)))}"
+        token, steps = f"some words, {secret}; more words of a config file", [rng.choice(layers) for _ in range(rng.randint(1, 4))]
+        for step in steps:
+            token = step(token)
+        text = f"é before: {token} \nand after"
+        base, found, _ = secrets.scan(text)
+        inside = [(a, b) for k, a, b in found - set(base) if k == "assign"]
+        assert inside and all(10 <= a < b <= 10 + len(token) for a, b in inside), (text[:300], [layers.index(s) for s in steps])
+
+
+def test_secret_in_large_streams(monkeypatch):
+    rng = random.Random(12)
+    filler = " ".join(str(rng.random()) for _ in range(4000))
+    for pack in (gzip.compress, bz2.compress, lzma.compress, lambda raw: gzip.compress(zlib.compress(raw)), lambda raw: gzip.compress(raw[:30_000]) + gzip.compress(raw[30_000:])):
+        for at in (0, 20_000, 39_990, len(filler)):
+            raw = (filler[:at] + " password = hunter2hunter2 " + filler[at:]).encode()
+            text = f"x {base64.b64encode(pack(raw)).decode()} and {''.join(f'%{b:02x}' for b in pack(raw))}"
+            monkeypatch.setattr(secrets, "MAX_UNPACKED", 64 << 20)
+            whole = secrets.scan(text)[1]
+            monkeypatch.setattr(secrets, "MAX_UNPACKED", 10_000)
+            monkeypatch.setattr(secrets, "OVERLAP", 200)
+            assert secrets.scan(text)[1] == whole and len([s for s in whole if s[0] == "assign"]) == 2
+
+
 def test_secret_maps_exact_place():
     raw = "key is token:abcdef1234 here"
     b64 = base64.b64encode(raw.encode()).decode()
