@@ -15,7 +15,8 @@ Null texts have no words. Null or empty items have no windows. Items with one id
 
 from __future__ import annotations
 
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -176,19 +177,19 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode()
 
 
-def shards(bench: DataFrame, most: int = SHARD_WORDS) -> list[list[tuple[object, list[bytes]]]]:
-    """The items' words, in parts of at most `most` words (a longer item is a part of its own).
-    Rows come in one partition at a time; a part is handed on as soon as it is full."""
-    out: list[list] = [[]]
+def shards(bench: DataFrame, most: int = SHARD_WORDS) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items' words, in parts of at most `most` words (a longer item is a part of its own), at least
+    one part. Rows come in one partition at a time; a part is handed on as soon as it is full."""
+    part: list = []
     size = 0
     for r in bench.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
         words = folded_words(r.text)
-        if out[-1] and size + len(words) > most:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, words))
+        if part and size + len(words) > most:
+            yield part
+            part, size = [], 0
+        part.append((r.item_id, words))
         size += len(words)
-    return out
+    yield part
 
 
 _COLUMNS = {"doc_id": pa.int64(), "n_words": pa.int64(), "spans": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "longest": pa.int64(), "text": pa.string()}
@@ -220,11 +221,12 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, keep_text: bo
     the text if asked for. One row for each row of docs; no shuffle with a benchmark of one shard.
     With several, rows that agree in doc_id and text are told apart by nothing and come out alike."""
     parts = shards(bench, shard_words)
-    if len(parts) == 1:
-        return _match(docs, parts[0], window, keep_text, list(extra))
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _match(docs, first, window, keep_text, list(extra))
     key = ["doc_id", "__text"]
     found = None
-    for items in parts:
+    for items in chain((first, second), parts):  # one after another, so the driver holds a part or two
         one = _match(docs.withColumn("__text", F.xxhash64("text")), items, window, False, ["__text"]).where(F.size("spans") > 0)
         one = staged(one, "decontaminate")
         found = one if found is None else found.unionByName(one)

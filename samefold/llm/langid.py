@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samefold.llm.common import arrow_map, documents, fields, packed, small_batches, unpacked
+from samefold.llm.common import arrow_map, documents, fields, packed, small_batches, staged, unpacked
 
 DIM = 1024
 #: Trigram vectors that a worker keeps (one byte for each dimension).
@@ -133,13 +133,14 @@ def _sums(rows: DataFrame, dim: int) -> dict[str, np.ndarray]:
             )
 
     small_batches(spark)
-    parts = rows.select("text", "lang").mapInArrow(count, "lang string, v array<double>")
+    parts = staged(rows.select("text", "lang").mapInArrow(count, "lang string, v array<double>"), "language-sums")
+    n = parts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if n > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} values of lang: more than can be learned")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     found: dict[str, np.ndarray] = {}
-    for r in summed.collect():  # languages x dimensions, of which the first factor is checked below
+    for r in summed.collect():  # MAX_LANGUAGES x dimensions at most
         found.setdefault(r.lang, np.zeros(dim + 1))[r.i] = r.x
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"{len(found)} values of lang; at most {MAX_LANGUAGES} can be learned")
     return dict(sorted(found.items()))
 
 
@@ -212,9 +213,11 @@ def floor(counts: np.ndarray, fit: float, dim: int) -> float:
     return max(SHARE * usual, min(noise, usual - noise))
 
 
-def recognised(docs: DataFrame) -> DataFrame:
-    """docs without the rows that have no letter or no recognisable language. The prototypes are
-    learned from all rows of docs whose lang isn't null."""
+def recognised(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
+    """docs without the rows that have no letter or no recognisable language, and, where target
+    languages are given, without those predicted to be of another. The prototypes are learned from all
+    rows of docs whose lang isn't null."""
     sums = _sums(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), DIM)
     scored = predict(packed(docs), {lang: v[:-1] for lang, v in sums.items()}, keep=("text", "__x"), fit=fits(sums))
-    return unpacked(scored.where(F.col("__lang") != "und"), docs.columns)
+    good = F.col("__lang") != "und" if languages is None else F.col("__lang").isin(*languages)
+    return unpacked(scored.where(good), docs.columns)

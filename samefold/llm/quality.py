@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samefold.llm.common import arrow_map, documents, utf8
+from samefold.llm.common import arrow_map, documents, staged, utf8
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -157,6 +157,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's ablation over all documents, from one ledger."""
+    found = staged(ledger(documents(spark, sf_dir)).select("failure_bits"), "ledger")
+    out = None
+    for policy in POLICIES:
+        one = ablation(found, policy).select(F.lit(policy).alias("policy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
@@ -186,3 +196,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & 3) <> 0 AS base_failed, failure_bits = 0 AS kept, failure_bits
 FROM b
 """
+
+_MASKS = ", ".join(f"('{p}', '{r}', {BIT[r]}, {mask(p)})" for p in POLICIES for r in POLICIES[p])
+ABLATION_SQL = f"""
+WITH l AS (SELECT failure_bits AS f FROM ({SQL})), r(policy, rule, bit, m) AS (VALUES {_MASKS})
+SELECT policy, rule, count(*) FILTER ((f & bit) <> 0)::BIGINT AS n_failed, count(*) FILTER ((f & m) = bit)::BIGINT AS n_failed_alone,
+  count(*) FILTER ((f & m) = 0)::BIGINT AS n_kept, count(*) FILTER ((f & m & ~bit::BIGINT) = 0)::BIGINT AS n_kept_without FROM l, r GROUP BY policy, rule
+"""

@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_language_id": langid.query,
         "op8_line_dedup": linededup.query,
         "op9_toxicity": toxicity.query,
+        "quality_ablation": quality.ablation_query,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": licenses.SQL,
         "op6_decontaminate": decontaminate.SQL,
         "op8_line_dedup": linededup.SQL,
+        "quality_ablation": quality.ABLATION_SQL,
     }

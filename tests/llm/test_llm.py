@@ -661,6 +661,76 @@ def test_suffix_dedup_empty(spark, empty, tmp_path):
 # ---- the pipeline
 
 
+def languages_truth(rows):
+    """Documents (id, text, lang) with a recognisable language, by plain loops."""
+
+    def grams(text):
+        letters = re.sub(r"[^a-zà-öø-ÿß-ö]+", " ", (text or "").lower())
+        line = f" {letters.strip()} "
+        return Counter(line[k : k + 3] for k in range(len(line) - 2)) if letters.strip() else Counter()
+
+    v = langid.Vectors()
+    vector = lambda g: np.roll(v.letter(ord(g[0])).astype(int), 2) * np.roll(v.letter(ord(g[1])).astype(int), 1) * v.letter(ord(g[2]))
+    bundle = lambda c: sum((n * vector(g) for g, n in c.items()), np.zeros(langid.DIM))
+    counts = {}
+    for _, text, lang in rows:
+        if lang is not None and text is not None:
+            counts.setdefault(lang, Counter()).update(grams(text))
+    sums = {lang: np.append(bundle(c), sum(c.values())) for lang, c in counts.items() if c}
+    kept = []
+    for k, text, _ in rows:
+        c = grams(text)
+        x = bundle(c)
+        if c:
+            cos = {lang: x @ p[:-1] / np.linalg.norm(x) / np.linalg.norm(p[:-1]) for lang, p in sums.items()}
+            best = max(sorted(cos), key=cos.get)
+            if cos[best] >= langid.floor(np.array(list(c.values())), langid.fits(sums)[best], langid.DIM):
+                kept.append(k)
+    return kept
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = "all human beings are born free and equal in dignity rights they endowed with reason conscience should act towards one another spirit of brotherhood every person has".split()
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    common, passage = "A line that very many of the documents share", "one two three four five six seven eight nine"
+    rows = []
+    for _ in range(40):
+        body = "\n".join(said(rng.randint(15, 50)) for _ in range(rng.randint(1, 4)))
+        rows.append(f"{body}\n{common}" if rng.random() < 0.5 else body)
+    rows += [rows[3], rows[4] + " more", rows[5].replace("human", "people", 1), f"{said(60)} {passage} {said(30)}", passage, None, "", "1234 !!", "zxq vkq wjx " * 30]
+    table = [(k, t, "en" if k < 35 else None) for k, t in enumerate(rows)]
+    items = [(1, passage), (2, "alpha beta gamma")]
+    spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    docs = {k: t for k, t, _ in table if k in set(languages_truth(table))}
+    assert len(rows) - len(docs) >= 4
+    docs = {k: t for k, (t, _) in lines_truth(docs).items()}
+    docs = {k: t for k, t in docs.items() if jaccard_truth(docs)[k][0] == k}
+    for k, text in list(docs.items()):
+        n, hit, found = windows_truth(text, items)
+        if len(found) > 1 or hit > 0.5 * n:
+            del docs[k]
+        elif hit:
+            docs[k] = re.sub(f" ?{passage}", "", text)
+    coder, want = Coder(packing.default_path()), {}
+    for k, text in docs.items():
+        ids = coder.encode(text) + b"\0\0\0\0"
+        want[k] = zlib.crc32(ids)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.ids_crc32 for r in out} == want
+    check_packing(out, packing.SIZE)
+
+
+def test_target_languages(spark):
+    rows = [(k, f"{w} " * 20, lang) for k, (w, lang) in enumerate([("human beings are born", "en"), ("menschen sind frei geboren", "de")] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang for r in langid.recognised(df, ("de",)).collect()} == {"de"} and langid.recognised(df).count() == 10
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
