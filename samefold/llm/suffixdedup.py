@@ -46,6 +46,8 @@ SPREAD = WINDOW - GRAM + 1
 #: Contexts that are sorted at once, at least; of one anchor and part, at most about HOT. Instances of
 #: one context and partition beyond this go in chunks of this size.
 BLOCK, HOT, CHUNKED = 4_096, 8_192, 1_024
+#: Hot anchors (two numbers each) that may be broadcast.
+MOST_HOT = 200_000
 #: Contexts of split anchors for each bucket in which their windows meet.
 BUCKET = 1 << 15
 #: Bytes of a text that are hashed at once.
@@ -322,44 +324,47 @@ def repeats(order: np.ndarray, same: np.ndarray, *rank: np.ndarray) -> np.ndarra
 _CUT = "ord long, tag int, start long, stop long, bucket long, packed binary"
 
 
-def _cuts(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in _CUT.split(", ")])
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
 
-def sort_block(keys: np.ndarray, texts: list[bytes], buckets: int) -> list[tuple]:
-    """Of contexts (a, salt, salts, ord, place) and their bytes, whole groups (a, salt): what to cut, and
-    for split anchors the first of each window, packed by bucket. A chunk (salt under 0) has its
-    first instance with it; the windows of a context that differs from that one stay."""
-    out: list[tuple] = []
-    size = np.array([len(t) for t in texts], np.int64)
-    base = np.cumsum(size) - size
-    buffer = b"".join(texts)
+def _cuts(ords, tags, starts, stops, buckets=None, packs=None) -> pa.RecordBatch:
+    none = [None] * len(ords)
+    cols = (ords, np.asarray(tags, np.int32), starts, stops, none if buckets is None else buckets, none if packs is None else packs)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [c.split()[0] for c in _CUT.split(", ")])
+
+
+def sort_block(keys: np.ndarray, base: np.ndarray, size: np.ndarray, buffer: bytes, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of contexts (a, salt, salts, ord, place), whole groups (a, salt), whose bytes lie in the buffer: what
+    to cut, and for split anchors the first of each window, packed by bucket. A chunk (salt under 0) has
+    its first instance with it; the windows of a context that differs from that one stay."""
     new = np.concatenate(([True], (keys[1:, :2] != keys[:-1, :2]).any(axis=1)))
     group = np.cumsum(new)
     ords, places = keys[:, 3], keys[:, 4]
     tags, low = places >> 48, _first(places)
     order, same = deep_shallow(buffer, base, size, group * 512 + size)  # a context has under 512 bytes
-    whole = np.zeros(len(texts), bool)
-    whole[again := repeats(order, same, low, tags, ords)] = True
-    # copies of one instance (of a chunk's first one, or of a repeated row) aren't repeats of it
-    out += [(int(ords[k]), int(tags[k]), int(low[k]), int(low[k] + size[k]), None, None) for k in again.tolist() if not _copy(k, keys)]
+    whole = np.zeros(len(keys), bool)
+    whole[repeats(order, same, low, tags, ords)] = True
+    # a copy of one instance (of a chunk's first one, or of a repeated row) isn't a repeat of it
+    copy = ~new
+    copy[1:] &= (keys[1:, 3:] == keys[:-1, 3:]).all(axis=1)
+    if len(cut := np.flatnonzero(whole & ~copy)):
+        yield _cuts(ords[cut], tags[cut], low[cut], low[cut] + size[cut])
     kept = np.flatnonzero(~whole & (keys[:, 1] >= 0))
     if not len(kept):
-        return out
+        return
     n = size[kept] - WINDOW + 1
     owner = np.repeat(kept, n)
     shift = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    starts = base[owner] + shift
-    at = low[owner] + shift
+    starts, at = base[owner] + shift, low[owner] + shift
     order, same = deep_shallow(buffer, starts, np.full(len(starts), WINDOW), group[owner])
     gone = np.zeros(len(starts), bool)
     gone[repeats(order, same, at, tags[owner], ords[owner])] = True
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))) | np.concatenate((shift == 0, [True])))
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if gone[a]:
-            k = owner[a]
-            out.append((int(ords[k]), int(tags[k]), int(at[a]), int(at[b - 1]) + WINDOW, None, None))
+    edge = np.flatnonzero(np.concatenate(([True], (gone[1:] != gone[:-1]) | (shift[1:] == 0), [True])))
+    runs = gone[edge[:-1]]
+    if runs.any():
+        first, last = edge[:-1][runs], edge[1:][runs] - 1
+        k = owner[first]
+        yield _cuts(ords[k], tags[k], at[first], at[last] + WINDOW)
     named = np.flatnonzero(~gone & (keys[owner, 2] > 1))
     if len(named):
         h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(buffer[x : x + WINDOW]) for x in starts[named].tolist()), np.uint64).reshape(-1, 2)
@@ -369,31 +374,29 @@ def sort_block(keys: np.ndarray, texts: list[bytes], buckets: int) -> list[tuple
         by = np.argsort(bucket, kind="stable")
         bucket, table = bucket[by], table[by]
         edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        out += [(0, 0, 0, 0, int(bucket[x]), table[x:y].tobytes()) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-    return out
-
-
-def _copy(k: int, keys: np.ndarray) -> bool:
-    """Whether the row before, of rows sorted by (a, salt, ord, place), is the same instance."""
-    return k > 0 and bool((keys[k, [0, 1, 3, 4]] == keys[k - 1, [0, 1, 3, 4]]).all())
+        packs = [table[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        zero = np.zeros(len(packs), np.int64)
+        yield _cuts(zero, zero, zero, zero, bucket[edge[:-1]], packs)
 
 
 def sort_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Over contexts sorted by (a, salt, ord, place): blocks end between groups (a, salt)."""
-    keys, texts = np.empty((0, 5), np.int64), []
+    keys, size, parts = np.empty((0, 5), np.int64), np.empty(0, np.int64), []
     for batch in batches:
-        more = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)
-        keys = np.concatenate((keys, more))
-        texts += batch.column(5).to_pylist()
+        text = batch.column(5)
+        ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        keys = np.concatenate((keys, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)], axis=1)))
+        size = np.concatenate((size, np.diff(ends)))
+        parts.append(text.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes())
         if len(keys) >= BLOCK:
-            ends = np.flatnonzero((keys[1:, :2] != keys[:-1, :2]).any(axis=1))
-            if len(ends):
-                cut = int(ends[-1]) + 1
-                if out := sort_block(keys[:cut], texts[:cut], buckets):
-                    yield _cuts(out)
-                keys, texts = keys[cut:], texts[cut:]
-    if len(keys) and (out := sort_block(keys, texts, buckets)):
-        yield _cuts(out)
+            shut = np.flatnonzero((keys[1:, :2] != keys[:-1, :2]).any(axis=1))
+            if len(shut):
+                cut = int(shut[-1]) + 1
+                buffer, base = b"".join(parts), np.cumsum(size) - size
+                yield from sort_block(keys[:cut], base[:cut], size[:cut], buffer, buckets)
+                parts, keys, size = [buffer[int(base[cut]) :]], keys[cut:], size[cut:]
+    if len(keys):
+        yield from sort_block(keys, np.cumsum(size) - size, size, b"".join(parts), buckets)
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +407,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = t[np.lexsort((t[:, 4], t[:, 3], t[:, 2], t[:, 1], t[:, 0]))]
         again = np.concatenate(([False], (t[1:, :2] == t[:-1, :2]).all(axis=1)))
         t = t[again]
-        return _cuts([(o, tag, s, s + WINDOW, None, None) for _, _, o, tag, s in t.tolist()]) if len(t) else None
+        return _cuts(t[:, 2], t[:, 3], t[:, 4], t[:, 4] + WINDOW) if len(t) else None
 
     bucket, parts = None, []
     for batch in batches:
@@ -427,9 +430,12 @@ def cuts(docs: DataFrame) -> DataFrame:
     step = staged(rows.mapInArrow(sift, _ASKED), "instances")
     single = step.where("chunk = 0")
     hot = single.groupBy("a").count().where(F.col("count") > HOT).select("a", F.ceil(F.col("count") / HOT).cast("long").alias("salts"))
-    buckets = max(1, -(-(hot.agg(F.sum("salts")).first()[0] or 0) * HOT // BUCKET))
+    hot = staged(hot, "hot-anchors")
+    n, salts = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("salts"), F.lit(0))).first()
+    buckets = max(1, -(-salts * HOT // BUCKET))
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("c"), "salts")).otherwise(F.lit(0).cast("long"))
-    asked = single.join(hot, "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))).select("a", salt.alias("salt"), "salts", "ord", "place")
+    # an anchor is hot from HOT rows on, so these are few; beyond MOST_HOT they are joined by a shuffle
+    asked = single.join(F.broadcast(hot) if n <= MOST_HOT else hot.hint("shuffle_hash"), "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long"))).select("a", salt.alias("salt"), "salts", "ord", "place")
     asked = asked.unionByName(step.where("chunk <> 0").select("a", (-F.col("chunk")).alias("salt"), F.lit(1).cast("long").alias("salts"), "ord", "place"))
     asked = asked.groupBy("ord", F.shiftright("place", 48).cast("int").alias("tag")).agg(F.collect_list(F.struct("a", "salt", "salts", "place")).alias("asked"))
 
