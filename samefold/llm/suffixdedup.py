@@ -10,8 +10,8 @@ by the sorter, byte for byte.
 1. Instances (anchor, hash of the context, document, place) are range-partitioned and sorted. In a
    stream, instances with an anchor of their own go; the others ask for their bytes. The range
    includes document and place, so a passage of a third of all documents spreads out; what a
-   partition's edge hides asks in any case. A context that is met very often in a partition sends its
-   later instances in chunks, each with a copy of the first one.
+   partition's edge hides asks in any case. A context that is met very often in a partition sends all
+   instances but the first in chunks, each with a copy of that one.
 2. Tasks sort the contexts of whole anchors, and then the suffixes of those that differ, by
    deep-shallow sorting: multikey quicksort on words of eight bytes to SHALLOW bytes, then blind tries
    for the groups whose common prefix is longer. In the suffix array that results, a suffix that
@@ -179,7 +179,9 @@ def _shared(rows: np.ndarray, edge: int, following: np.ndarray, run: int, base:
     if had:
         lead[of < 0] = spent[0]
     number = run + of + 1
-    chunk = np.where(at >= CHUNKED, base | number << 20 | at // CHUNKED, 0)
+    count = np.diff(np.append(starts, len(rows)))
+    size = np.where(of >= 0, count[np.maximum(of, 0)] if len(starts) else 0, had + (int(starts[0]) if len(starts) else len(rows)))
+    chunk = np.where((size > CHUNKED) & (at > 0), base | number << 20 | 1 + at // CHUNKED, 0)
     opens = chunk[1:] != chunk[:-1]
     opens = np.flatnonzero((chunk != 0) & np.concatenate(([True], opens)))
     copies, copied = lead[opens], chunk[opens]
