@@ -27,6 +27,7 @@ of rows with one doc_id, the text with the smaller hash comes first, and equal r
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ SPREAD = WINDOW - GRAM + 1
 #: Contexts that are sorted at once, at least; of one anchor and part, at most about HOT. Instances of
 #: one context and partition beyond this go in chunks of this size.
 BLOCK, HOT, CHUNKED = 4_096, 8_192, 1_024
+#: Documents for each range whose anchors give the bounds of ranges, and the largest number of those.
+SAMPLE, MOST_PARTS = 20, 200_000
 #: Hot anchors (two numbers each) that may be broadcast.
 MOST_HOT = 200_000
 #: Contexts of split anchors for each bucket in which their windows meet.
@@ -424,11 +427,38 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def dealt(docs: DataFrame, order: list[str]) -> DataFrame:
+    """The instances of docs in ranges of `order`, whose bounds a bounded sample of documents gives.
+    repartitionByRange() would make all rows a second time for its own sample. Where the bounds lie
+    changes only the sizes of partitions."""
+    spark, rows = docs.sparkSession, instance_rows(docs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, 2 * rows.rdd.getNumPartitions()))
+    n = docs.count()
+    sample = rows if n <= SAMPLE * parts else instance_rows(docs.sample(SAMPLE * parts / n, seed=1))
+    tiles = [c for c in sample.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*order)).alias("m")).orderBy("p").collect()]
+    edges = np.array([list(t.m) for t in tiles[1:]], np.int64).reshape(-1, len(order))  # a bound for each partition
+    sent = spark.sparkContext.broadcast(edges)  # MOST_PARTS rows at most
+    state: dict[str, list[tuple]] = {}
+
+    def number(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(order))]
+        bounds = sent.value
+        whole = state.get("whole") or state.setdefault("whole", list(map(tuple, bounds.tolist())))
+        lo = np.searchsorted(bounds[:, 0], cols[0], "left")
+        p = np.searchsorted(bounds[:, 0], cols[0], "right")
+        for i in np.flatnonzero(lo < p).tolist():  # an anchor that is a bound itself: by the whole key
+            p[i] = bisect_right(whole, tuple(int(c[i]) for c in cols), int(lo[i]), int(p[i]))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(np.int32))], [*order, "p"])
+
+    numbered = arrow_map(rows, _INSTANCE + ", p int", number)
+    return numbered.repartitionById(parts, "p").drop("p")
+
+
 def cuts(docs: DataFrame) -> DataFrame:
     """ord, tag, start, stop: byte ranges to remove, overlapping ones too."""
     small_batches(docs.sparkSession)
     order = ["a", "c", "ord", "place"]
-    rows = instance_rows(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = dealt(docs, order).sortWithinPartitions(*order)
     step = staged(rows.mapInArrow(sift, _ASKED), "instances")
     single = step.where("chunk = 0")
     hot = single.groupBy("a").count().where(F.col("count") > HOT).select("a", F.ceil(F.col("count") / HOT).cast("long").alias("salts"))
