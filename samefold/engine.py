@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,9 @@ from samefold.plans import decisions, evaluate, fingerprints, lookup, parse
 from samefold.sources.catalog import Registry
 from samefold.sources.embedding import EmbeddingError, EmbeddingProvider, dimension_problem, make_provider
 from samefold.storage import persisted
-from samefold.streaming.refresh import SnapshotStore
+from samefold.streaming.refresh import SnapshotStore, refresh_stream
+
+log = logging.getLogger(__name__)
 
 
 class Engine:
@@ -23,6 +28,34 @@ class Engine:
         """fetch gives the bytes behind a request's image_url; without it such a picture is a warning."""
         self.spark, self.registry, self.store, self.config, self.fetch = spark, registry, store, config or EngineConfig(), fetch
 
+        self._streams: list = []
+        dim = self.config.embedding.get("dim")
+        if self.config.image_enabled and dim is not None and int(dim) <= 0:
+            log.warning("the settings' dimension %s can't be that of a vector", dim)
+
+    def connect(self, checkpoints: str, after: Callable[[DataFrame], None] | None = None, **trigger) -> list:
+        """Start a stream for each catalog that tells its changes; a catalog that can't be read is logged and
+        stays unwired. Returns the streams."""
+        for kind in self.registry.kinds:
+            try:
+                source = self.registry.get(kind)
+                if source.changes is None:
+                    continue
+                changes = source.changes(self.spark).withColumn("kind", F.lit(kind))
+                watch = None
+                if source.watch:
+                    state = self.store.path + f"-watched-{kind}"
+                    watch = (state, list(source.watch))
+                stream = refresh_stream(changes, lambda s: self.registry.items(s), self.store, f"{checkpoints}/{kind}", watch, after)
+                self._streams.append(stream.trigger(**(trigger or {"processingTime": "10 seconds"})).start())
+            except (ImportError, LookupError, OSError, PySparkException, Py4JJavaError) as e:
+                log.warning("changes of %s aren't followed: %s", kind, str(e)[:300])
+        return self._streams
+
+    def disconnect(self) -> None:
+        while self._streams:
+            self._streams.pop().stop()
+
     @property
     def make_provider(self) -> Callable[[], EmbeddingProvider]:
         settings = self.config.embedding

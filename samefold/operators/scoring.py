@@ -1,7 +1,7 @@
 """Evidence for each pair: levels with signed points, a clamped sum, a verdict, and a relevance.
 
 Input rows hold the query's columns with prefix q_ and the candidate's with prefix c_, and
-name_similarity. Reasons are array<struct<code, score, observed<query, candidate>>>.
+name_similarity. Reasons are array<struct<code, label, score, observed<query, candidate>>>.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ TRIGRAM_FLOOR, TRIGRAM_CEILING = 0.35, 0.9
 TOKENS_STRONG, TOKENS_WEAK = 0.85, 0.6
 SAME_BITS, NEAR_BITS = 5, 10
 COSINE_STRONG, COSINE_SIMILAR, COSINE_SAME_FILE = 0.9, 0.8, 0.95
-REASON = "struct<code:string,score:int,observed:struct<query:string,candidate:string>>"
+REASON = "struct<code:string,label:string,score:int,observed:struct<query:string,candidate:string>>"
 AXES = ["width", "height", "deep"]
 
 q = lambda c: F.col(f"q_{c}")
@@ -40,7 +40,9 @@ def _filled(x: Column) -> Column:
 def _reason(code: str, query: Column, candidate: Column, score: Column | None = None) -> Column:
     points = F.lit(WEIGHTS[code]) if score is None else score
     seen = F.struct(query.cast("string").alias("query"), candidate.cast("string").alias("candidate"))
-    return F.struct(F.lit(code).alias("code"), points.cast("int").alias("score"), seen.alias("observed"))
+    shown = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    label = F.concat(F.lit(code.replace("_", " ") + ": "), shown(query), F.lit(" / "), shown(candidate))
+    return F.struct(F.lit(code).alias("code"), label.alias("label"), points.cast("int").alias("score"), seen.alias("observed"))
 
 
 def _within(a: Column, b: Column, share: str, least: str) -> Column:

@@ -28,7 +28,7 @@ def from_verdicts(verdicts: DataFrame) -> DataFrame:
     known = F.when(F.col("decision_human").isin(*HUMAN), F.col("decision_human")).otherwise(F.raise_error(F.concat(F.lit("unknown human decision "), F.coalesce("decision_human", F.lit("null")))))
     return verdicts.select(
         F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("string").alias("query"), "subject_ref", "candidate_kind", "candidate_ref", F.col("score").cast("int").alias("score"),
-        F.array().cast("array<struct<code:string,score:int,observed:struct<query:string,candidate:string>>>").alias("features"), "decision_auto",
+        F.array().cast("array<struct<code:string,label:string,score:int,observed:struct<query:string,candidate:string>>>").alias("features"), "decision_auto",
         known.alias("decision_human"), F.col("user_id").cast("long").alias("user_id"), F.lit("proposal").alias("source"), F.current_timestamp().alias("created_at"),
     )
 
@@ -37,7 +37,7 @@ def from_outcomes(outcomes: DataFrame) -> DataFrame:
     """Log rows of an evaluation's retrieved pairs."""
     return outcomes.where("retrieved").select(
         F.col("pair_id").alias("query_id"), F.lit(None).cast("string").alias("query"), F.col("query_ref").alias("subject_ref"), "candidate_kind", "candidate_ref", "score",
-        F.array().cast("array<struct<code:string,score:int,observed:struct<query:string,candidate:string>>>").alias("features"), F.col("decision").alias("decision_auto"),
+        F.array().cast("array<struct<code:string,label:string,score:int,observed:struct<query:string,candidate:string>>>").alias("features"), F.col("decision").alias("decision_auto"),
         F.lit("").alias("decision_human"), F.lit(None).cast("long").alias("user_id"), F.lit("lookup_eval").alias("source"), F.current_timestamp().alias("created_at"),
     )
 

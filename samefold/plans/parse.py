@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from samefold.config import KINDS, EngineConfig
 from samefold.functions import identifiers, names
+from samefold.schemas import QUERY
 
 #: Longest value of each text field.
 LENGTHS = {"q": 500, "ean": 32, "brand": 255, "mpn": 255, "sku": 255, "name": 500}
@@ -30,6 +31,39 @@ def validate(raw: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     return raw.withColumn("error", F.coalesce(*(F.when(t, F.lit(m)) for t, m in tests)))
 
 
+def from_json(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests of (query_id, body), a JSON object each, and query_id and error of the others. A scope
+    may be one kind or a list; fields that a request doesn't know are passed over."""
+    fields = ", ".join(f for f in QUERY.split(", ") if not f.startswith("query_id"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    text = F.trim("body")
+    scope = F.get_json_object("body", "$.scope")
+    one = F.when(scope.isNotNull() & ~scope.startswith("["), F.array(scope))
+    df = bodies.withColumn("__r", F.from_json("body", f"{fields}, __bad string", options))
+    good = F.coalesce(text.startswith("{") & (F.col("__r").isNotNull()) & (F.col("__r.__bad").isNull() | one.isNotNull()), F.lit(False))
+    names = [f.split()[0] for f in QUERY.split(", ") if not f.startswith("query_id")]
+    # a scope that is no list spoils the whole record, so it is read again without it
+    rest = F.from_json(F.when(one.isNotNull(), F.regexp_replace("body", r'"scope"\s*:\s*"[^"]*"', '"scope":null')).otherwise(F.col("body")), fields)
+    read = df.where(good).withColumn("__r", rest).select("query_id", *(F.coalesce(one, F.col("__r.scope")).alias("scope") if n == "scope" else F.col(f"__r.{n}").alias(n) for n in names))
+    return read, df.where(~good).select("query_id", F.lit("the body isn't a JSON object").alias("error"))
+
+
+def throttled(requests: DataFrame, rates: dict[str, str] | None = None) -> DataFrame:
+    """Requests (user_id, ts, has_image) with `allowed`: at most so many for each user, kind and minute. A
+    rate that can't be read falls back to the default; it never switches the limit off."""
+    def rate(kind: str) -> int:
+        n, _, unit = str((rates or {}).get(kind, "")).partition("/")
+        seconds = {"s": 1, "m": 60, "h": 3600, "d": 86400}.get(unit[:1])
+        return max(1, int(n) * 60 // seconds) if n.isdigit() and int(n) and seconds else RATES[kind]
+
+    kind = F.coalesce("has_image", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("user_id", kind, F.date_trunc("minute", "ts")).orderBy("ts"))
+    return requests.withColumn("allowed", place <= F.when(kind, rate("image")).otherwise(rate("text")))
+
+
+#: Requests a minute for a user.
+RATES = {"text": 60, "image": 30}
+
 _RUN = r"(?U)(?<!\d)(\d{8,14})(?!\d)"
 
 

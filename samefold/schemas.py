@@ -17,6 +17,6 @@ FINGERPRINT = (
 )
 DECISION = (
     "query_id long, query string, subject_ref string, candidate_kind string, candidate_ref string, score int, "
-    "features array<struct<code:string,score:int,observed:struct<query:string,candidate:string>>>, "
+    "features array<struct<code:string,label:string,score:int,observed:struct<query:string,candidate:string>>>, "
     "decision_auto string, decision_human string, user_id long, source string, created_at timestamp"
 )

@@ -33,6 +33,9 @@ class CatalogSource:
     kind: str
     read: Callable[[SparkSession], DataFrame]
     display: Callable[[SparkSession], DataFrame] | None = None
+    #: A stream of what changed (ref, ts and, where `watch` names fields, these).
+    changes: Callable[[SparkSession], DataFrame] | None = None
+    watch: tuple[str, ...] = ()
 
     def items(self, spark: SparkSession, since=None) -> DataFrame:
         """All items, or those updated since; items without a time are never recent."""

@@ -107,19 +107,41 @@ class SnapshotStore:
         return version
 
 
-def refresh_stream(changes: DataFrame, items: Callable[[SparkSession], DataFrame], store: SnapshotStore, checkpoint: str, watch: tuple[DataFrame, list[str]] | None = None, after: Callable[[DataFrame], None] | None = None) -> DataStreamWriter:
+class StateTable:
+    """The last state of each item that a stream told, as one table for each batch; the newest row counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self, schema: str) -> DataFrame:
+        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(f"{schema}, batch long").parquet(self.path)
+        return latest(rows.withColumnRenamed("batch", "ts")).drop("ts")
+
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+
+def refresh_stream(changes: DataFrame, items: Callable[[SparkSession], DataFrame], store: SnapshotStore, checkpoint: str, watch: tuple[str, list[str]] | None = None, after: Callable[[DataFrame], None] | None = None) -> DataStreamWriter:
     """A stream of (kind, ref, ts) that keeps the store's snapshot equal to the catalogs. A batch
     reads the current items again, so late, repeated and unordered changes do no harm and no
     watermark is needed. A batch that is run again finds its number in the store and does nothing.
 
-    watch: the previous state and its watched fields; changes without one of them changed are passed
-    over. after: called with the refs of a batch whose rows were written, to look at their pictures."""
+    watch: a folder for the last state that each item's changes told, and the fields that matter; changes
+    in which none of them differs are passed over. after: called with the refs of a batch whose rows were written, to look at their pictures."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if batch_id <= store.done(checkpoint):
             return
         last = latest(df)
-        refs = persisted((watched(last, *watch) if watch else last).select("kind", "ref"), "changed")
+        spark = df.sparkSession
+        new = last
+        if watch:
+            state = StateTable(spark, watch[0])
+            new = persisted(watched(last, state.read("kind string, ref string, " + ", ".join(f"`{f}` {last.schema[f].dataType.simpleString()}" for f in watch[1])), watch[1]), "watched")
+        refs = persisted(new.select("kind", "ref"), "changed")
         for left in range(TRIES - 1, -1, -1):
             try:
                 snapshot, _ = fingerprints.refresh(store.read(), refs, items(df.sparkSession))
@@ -128,6 +150,8 @@ def refresh_stream(changes: DataFrame, items: Callable[[SparkSession], DataFrame
             except RuntimeError:
                 if not left:
                     raise
+        if watch:
+            state.add(new.select("kind", "ref", *watch[1]), batch_id)
         if after:
             after(refs)
 

@@ -359,6 +359,59 @@ def test_pictures_from_bytes(spark, tmp_path):
     assert {r.query_id: r.warnings[-1] for r in off.search_answers(raw).collect()} == dict.fromkeys((0, 1), images.UNAVAILABLE)
 
 
+def made_engine(spark):
+    """For the command line: the catalog of these tests in the session's shared folder."""
+    source = CatalogSource(PIM, lambda s: items(s, CATALOG).drop("kind"))
+    return Engine(spark, Registry({PIM: source}), SnapshotStore(spark, spark.conf.get("spark.test.snapshots")))
+
+
+def test_commands(spark, tmp_path, capsys):
+    from samefold.__main__ import main
+
+    spark.conf.set("spark.test.snapshots", str(tmp_path / "snap"))
+    path = tmp_path / "pairs.csv"
+    path.write_text(f"query_kind,query_ref,candidate_kind,candidate_ref,label\n{PIM},42,{PIM},42,match\n", encoding="utf-8")
+    at = ["--engine", "tests.test_engine:made_engine"]
+    assert main(["backfill", *at], spark) == 0 and main(["reconcile", *at], spark) == 0 and main(["doctor", *at], spark) == 1
+    assert main(["evaluate", *at, "--pairs", str(path), "--thresholds", "50"], spark) == 0
+    said = capsys.readouterr().out
+    assert "n_written 3" in said and "[FAIL] settings" in said and "match >= 50: precision 1.000, recall 1.000" in said
+
+
+def test_wired_changes(spark, tmp_path):
+    schema = "ref string, ts long, name string, stock int"
+    feed = str(tmp_path / "feed")
+    spark.createDataFrame([("43", 1, "lamp", 5), ("42", 1, "drill", 9)], schema).write.parquet(feed)
+    wired = CatalogSource(PIM, lambda s: items(s, CATALOG).drop("kind"), changes=lambda s: s.readStream.schema(schema).parquet(feed), watch=("name",))
+    lost = CatalogSource(ATLAS, lambda s: items(s, []).drop("kind"), changes=lambda s: s.readStream.schema(schema).format("no-such-source").load())
+    engine = Engine(spark, Registry({PIM: wired, ATLAS: lost}), SnapshotStore(spark, str(tmp_path / "snap")))
+    seen = []
+
+    def run():
+        for stream in list(engine.connect(str(tmp_path / "cp"), lambda refs: seen.append(sorted(r.ref for r in refs.collect())), availableNow=True)):
+            stream.awaitTermination()
+        engine.disconnect()
+
+    run()
+    assert {r.ref for r in engine.fingerprints.collect()} == {"42", "43"}
+    spark.createDataFrame([("43", 2, "lamp", 6), ("42", 2, "better drill", 9)], schema).write.mode("append").parquet(feed)
+    run()  # only the watched name counts
+    assert seen == [["42", "43"], ["42"]]
+
+
+def test_requests_from_json_and_rates(spark):
+    bodies = ['{"q": "lamp", "scope": "pim_product", "attrs": {"weight": 1.5}}', '{"ean": "123", "scope": ["pim_product", "moon"], "other": 1}', "[1]", "nope", None]
+    good, bad = parse.from_json(spark.createDataFrame(list(enumerate(bodies)), "query_id long, body string"))
+    got = {r.query_id: r for r in good.collect()}
+    assert set(got) == {0, 1} and sorted(r.query_id for r in bad.collect()) == [2, 3, 4]
+    assert got[0].q == "lamp" and got[0].scope == [PIM] and float(got[0].attrs.weight) == 1.5 and got[1].scope == [PIM, "moon"]
+    assert parse.validate(good).where("error IS NOT NULL").first().query_id == 1
+    t = datetime.datetime(2026, 1, 1)
+    calls = spark.createDataFrame([(1, t + datetime.timedelta(milliseconds=k), k % 2 == 0) for k in range(100)] + [(2, t, None)], "user_id long, ts timestamp, has_image boolean")
+    n = lambda **rates: parse.throttled(calls, rates).where("allowed").groupBy("user_id").count().orderBy("user_id").collect()
+    assert [r["count"] for r in n()] == [80, 1] and [r["count"] for r in n(text="600/h", image="off")] == [40, 1]
+
+
 def png(rgb, how):
     import numpy as np
 
