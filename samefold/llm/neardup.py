@@ -50,6 +50,8 @@ NEAR, NEAR_RECALL = (0.65, 0.85), 0.9999
 #: A row with an estimate of TIGHT to a leader is no leader; it is linked to those of LOOSE and more.
 #: With J(x, y) >= 0.8 and x at TIGHT to a leader, y is at 0.35 at least, errors of 3 sigma included.
 TIGHT, LOOSE = 0.8, 0.35
+#: Times that links are drawn in to a smaller leader before components are sought.
+STAR_ROUNDS = 2
 #: Texts and shingles in a block; a tile is two blocks.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 2_000_000
 
@@ -329,11 +331,15 @@ def candidate_links(reps: DataFrame) -> DataFrame:
     across = ends.mapInArrow(lambda b: subtree_links(b, TIGHT, LOOSE / 2, False), _LINKS)
     links = found.where("b IS NOT NULL").select("a", "b").unionByName(across.select("a", "b"))
     # a row has a few leaders in each tree; it keeps its smallest one, which takes over its other links.
-    # Rows of a group have mostly the same leaders, so that leaves about one link for each row.
-    stars = staged(links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("leaders")), "stars")
-    least = F.get("leaders", F.lit(0)).alias("a")
-    others = stars.where(F.size("leaders") > 1).select(least, F.explode(F.slice("leaders", F.lit(2), F.size("leaders"))).alias("b"))
-    return stars.select(least, "b").unionByName(others.distinct())
+    # These lie between leaders and are drawn in the same way, so that leaves about one link for each row.
+    kept = None
+    for _ in range(STAR_ROUNDS):
+        stars = staged(links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("leaders")), "stars")
+        least = F.get("leaders", F.lit(0)).alias("a")
+        one = stars.select(least, "b")
+        kept = one if kept is None else kept.unionByName(one)
+        links = stars.where(F.size("leaders") > 1).select(least, F.explode(F.slice("leaders", F.lit(2), F.size("leaders"))).alias("b")).distinct()
+    return kept.unionByName(links)
 
 
 # ---- exact verification
