@@ -117,7 +117,7 @@ def test_word_similarity():
     rng = random.Random(1)
 
     def brute(q, t):
-        a, seq = set(similarity._padded_trigrams(q)), similarity._padded_trigrams(t)
+        a, seq = set(similarity.padded_trigrams(q)), similarity.padded_trigrams(t)
         return max((len(a & set(seq[i:j])) / len(a | set(seq[i:j])) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)), default=0.0)
 
     for _ in range(200):
@@ -142,3 +142,14 @@ def test_token_set_ratio():
     for _ in range(300):
         a, b = ("".join(rng.choices("abcd ", k=rng.randint(0, 30))) for _ in range(2))
         assert similarity._lcs(a, b) == lcs(a, b)
+
+
+def test_unaccent_over_all_characters(spark):
+    def plain(s):
+        s = s.replace("ß", "ss").replace("ł", "l").replace("Ł", "L")
+        return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+
+    known = [chr(k) for k in range(0x30000) if not 0xD800 <= k < 0xE000 and unicodedata.category(chr(k)) != "Cn"]
+    rows = ["x".join(known[k : k + 200]) for k in range(0, len(known), 200)] + ["straße Łódź ＡＢ１ 한국어", ""]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").repartition(4)
+    assert all(r.u == plain(r.t) for r in df.select("t", text.unaccent(F.col("t")).alias("u")).collect())
