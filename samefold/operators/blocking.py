@@ -34,8 +34,9 @@ def _ranked(df: DataFrame, leg: int, order: list, limit) -> DataFrame:
     return out.where(F.col("place") <= limit).select(*PAIR, F.lit(leg).alias("leg"), "place")
 
 
-def exact(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
-    """Three equi-joins: GTIN, brand and part number, reference."""
+def keyed(queries: DataFrame, fps: DataFrame) -> DataFrame:
+    """query_id, kind, ref, rank, and the names of both: every pair that shares a key, by three equi-joins (GTIN,
+    brand and part number, reference)."""
     q = queries.select("query_id", "scope", *(F.col(c).alias(f"q_{c}") for c in ("gtin14", "brand_norm", "mpn_norm", "sku", "name_norm")))
     keys = fps.select("kind", "ref", "gtin14", "brand_norm", "mpn_norm", "name_norm")
     legs = [
@@ -48,7 +49,12 @@ def exact(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame
     for leg in legs:
         one = _in_scope(leg).select(*PAIR, rank.alias("rank"), "q_name_norm", "name_norm", "brand_norm")
         found = one if found is None else found.unionByName(one)
-    found = found.groupBy(*PAIR).agg(F.min("rank").alias("rank"), *(F.first(c).alias(c) for c in ("q_name_norm", "name_norm", "brand_norm")))
+    return found.groupBy(*PAIR).agg(F.min("rank").alias("rank"), *(F.first(c).alias(c) for c in ("q_name_norm", "name_norm", "brand_norm")))
+
+
+def exact(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
+    """The first `candidate_limit` pairs of each query that share a key."""
+    found = keyed(queries, fps)
     found = found.withColumn("name_similarity", name_similarity(F.col("q_name_norm"), F.col("name_norm"), F.col("brand_norm")))
     return _ranked(found, EXACT, ["rank", F.desc("name_similarity")], config.candidate_limit)
 

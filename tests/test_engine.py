@@ -15,7 +15,8 @@ from samefold.config import KINDS, EngineConfig
 from samefold.engine import Engine
 from samefold.functions import similarity
 from samefold.operators import blocking, images, scoring
-from samefold.plans import decisions, evaluate, fingerprints, parse
+from samefold.plans import decisions, evaluate, fingerprints, oracles, parse
+from samefold.plans import queries as engine_queries
 from samefold.schemas import FINGERPRINT, ITEM, QUERY
 from samefold.sources.catalog import CatalogSource, Registry, read_pairs
 from samefold.sources.embedding import EmbeddingError, NoProvider, ProviderInfo, check_url, embed, make_provider
@@ -149,6 +150,31 @@ def test_hash_leg_is_exact(spark):
     assert got == {(i, j) for (i, p), (j, h) in itertools.product(enumerate(probes), enumerate(hashes)) if (p ^ h).bit_count() <= 10}
 
 
+def test_exact_pairs_are_all_there(spark):
+    """A key that more rows share than a pool holds: the join gives all of them, the pool its limit."""
+    fps = fp_rows(spark, [{"ref": f"r{k:03d}", "brand_norm": "b", "mpn_norm": "M1"} for k in range(130)])
+    q = parse.parse(raw_queries(spark, [{"brand": "b", "mpn": "m1"}, {"sku": "r007"}]))
+    q = spark.createDataFrame(q.collect(), q.schema)
+    every = blocking.keyed(q, fps).select("query_id", "ref").collect()
+    assert sorted(r.ref for r in every if r.query_id == 0) == [f"r{k:03d}" for k in range(130)]
+    assert [r.ref for r in every if r.query_id == 1] == ["r007"]
+    assert blocking.exact(q, fps, EngineConfig()).where("query_id = 0").count() == EngineConfig().candidate_limit
+
+
+def test_block_exact_matches_its_sql_past_a_pool(spark, tmp_path):
+    """130 parts of one brand whose keys agree modulo 997, so that they share brand and part number."""
+    duckdb = pytest.importorskip("duckdb")
+    keys = [150 + 997 * 50 * k for k in range(130)]
+    spark.createDataFrame([(k, f"ring {k}", "Brand#1", "LARGE", 1, 1.0) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, [1.0] * 64, 0)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    base = duckdb.connect()
+    for t in ("part", "embeddings"):
+        base.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(base.execute(oracles.SQL["block_exact"]).fetchall())
+    assert max(len(list(g)) for _, g in itertools.groupby(want, lambda r: r[0])) > EngineConfig().candidate_limit
+    assert sorted(map(tuple, engine_queries.block_exact(spark, str(tmp_path)).collect())) == want
+
+
 def items(spark, rows):
     names = [p.split()[0] for p in ITEM.replace("map<string,string>", "map").split(", ")]
     base = {**dict.fromkeys(names), "kind": PIM, "name_by_lang": {}, "attrs": {}}
