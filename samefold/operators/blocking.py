@@ -74,21 +74,25 @@ def _banding(most: int) -> tuple[int, int]:
 
 
 def _bands(c, n: int):
-    edges = [64 * k // n for k in range(n + 1)]
+    """The bands' numbers and bits, as one key each."""
+    edges, wide = [64 * k // n for k in range(n + 1)], -(-64 // n)
     width = lambda a, b: F.lit(-1 if b - a == 64 else (1 << (b - a)) - 1).cast("long")
-    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(c, a).bitwiseAND(width(a, b)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    number = lambda k: F.lit(k << wide if k else 0).cast("long")
+    return F.array(*(F.shiftrightunsigned(c, a).bitwiseAND(width(a, b)).bitwiseOR(number(k)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
 
 
 def near_hash(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
     """Rows are keyed by their bands as they are; a query probes each band's near values. So the large
-    side has few keys a row, and each is as wide as the distance allows."""
+    side has few keys a row, and each is as wide as the distance allows. Spark takes the probes for as
+    small as the queries are, so the join says that it sorts both sides: neither may be broadcast."""
     n, radius = _banding(config.phash_max_distance)
     width = -(-64 // n)
     masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
-    probes = F.flatten(F.transform(_bands(F.col("phash"), n), lambda b: F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.struct(b["band"].alias("band"), b["bits"].bitwiseXOR(m).alias("bits")))))
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    probes = F.flatten(F.transform(_bands(F.col("phash"), n), lambda b: F.transform(F.array(*(F.lit(m).cast("long") for m in signed)), lambda m: b.bitwiseXOR(m))))
     q = queries.where("phash IS NOT NULL").select("query_id", "scope", F.col("phash").alias("q_phash"), F.explode(probes).alias("b"))
     f = fps.where("phash IS NOT NULL").select("kind", "ref", "phash", F.explode(_bands(F.col("phash"), n)).alias("b"))
-    found = _in_scope(q.join(f, "b")).withColumn("distance", hamming(F.col("q_phash"), F.col("phash"))).where(F.col("distance") <= config.phash_max_distance)
+    found = _in_scope(q.join(f.hint("merge"), "b")).withColumn("distance", hamming(F.col("q_phash"), F.col("phash"))).where(F.col("distance") <= config.phash_max_distance)
     return _ranked(found.groupBy(*PAIR).agg(F.min("distance").alias("distance")), HASH, ["distance"], config.image_top_k)
 
 

@@ -175,6 +175,14 @@ def test_block_exact_matches_its_sql_past_a_pool(spark, tmp_path):
     assert sorted(map(tuple, engine_queries.block_exact(spark, str(tmp_path)).collect())) == want
 
 
+def test_probes_are_not_broadcast(spark):
+    """Probes are hundreds of rows for a query, which Spark's estimate doesn't know."""
+    fps = fp_rows(spark, [{"ref": "a", "phash": 1}])
+    q = spark.createDataFrame([(0, [PIM], 3)], "query_id long, scope array<string>, phash long")
+    plan = blocking.near_hash(q, fps, EngineConfig())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def items(spark, rows):
     names = [p.split()[0] for p in ITEM.replace("map<string,string>", "map").split(", ")]
     base = {**dict.fromkeys(names), "kind": PIM, "name_by_lang": {}, "attrs": {}}
