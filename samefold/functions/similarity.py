@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -29,14 +32,24 @@ def set_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, float4(common / union)).otherwise(F.lit(0.0))
 
 
-def name_similarity(query: Column, name: Column, brand: Column) -> Column:
+def name_similarity_of(query: str, name: str, brand: str, known: Callable[[str], frozenset[str]]) -> float:
+    def alike(x: frozenset[str], y: frozenset[str]) -> float:
+        both = len(x & y)
+        return both / (len(x) + len(y) - both) if x or y else 0.0
+
+    if not query:
+        return 0.0
+    own, best = known(name), alike(known(query), known(name))
+    if brand and f" {brand} " in f" {query} ":
+        best = max(best, alike(known(f" {query} ".replace(f" {brand} ", " ")), own))
+    return float(np.float32(best))
+
+
+@pandas_udf(DoubleType())
+def name_similarity(query: pd.Series, name: pd.Series, brand: pd.Series) -> pd.Series:
     """The better of the query name as it is and without the row's own brand."""
-    asked, own = trigrams(query), trigrams(name)
-    raw = set_similarity(own, asked)
-    bare = set_similarity(own, trigrams(without_brand(query, brand)))
-    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    branded = (brand != "") & pad(query).contains(pad(brand))
-    return F.when(query == "", F.lit(0.0)).when(branded, F.greatest(raw, bare)).otherwise(raw)
+    known = lru_cache(20_000)(lambda t: frozenset(padded_trigrams(t)))
+    return pd.Series([name_similarity_of(q or "", n or "", b or "", known) for q, n, b in zip(query, name, brand, strict=True)], dtype="float64")
 
 
 def without_brand(text: Column, brand: Column) -> Column:

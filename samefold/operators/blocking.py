@@ -99,18 +99,17 @@ def near_hash(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataF
 def by_text(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
     """The trigram leg and the word leg, from one scan of the names."""
     found = scans.by_name(queries, fps, (TRIGRAM, WORD), (RAW_FLOOR, TRIGRAM_FLOOR, WORD_FLOOR), (config.trigram_limit, config.word_limit))
-    legs = [_ranked(found.where(F.col("leg") == leg), leg, ["measure"], limit) for leg, limit in ((TRIGRAM, config.trigram_limit), (WORD, config.word_limit))]
-    return legs[0].unionByName(legs[1])
+    return found.select(*PAIR, "leg", "place")
 
 
 def near_vector(queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
     return _ranked(scans.by_vector(queries, fps, VECTOR, config.image_top_k), VECTOR, ["measure"], config.image_top_k)
 
 
-def candidates(queries: DataFrame, fps: DataFrame, config: EngineConfig | None = None, limit: int | None = None, image: bool = True) -> DataFrame:
-    """query_id, kind, ref, leg, place, pool_rank: the pool of each query."""
+def candidates(queries: DataFrame, fps: DataFrame, config: EngineConfig | None = None, limit: int | None = None, image: bool = True, text: DataFrame | None = None) -> DataFrame:
+    """query_id, kind, ref, leg, place, pool_rank: the pool of each query. text: what by_text() gave for them, if it is there."""
     config = config or EngineConfig()
-    legs = [exact(queries, fps, config), by_text(queries, fps, config)]
+    legs = [exact(queries, fps, config), by_text(queries, fps, config) if text is None else text]
     if image and config.image_enabled:
         legs += [near_hash(queries, fps, config), near_vector(queries, fps, config)]
     pool = legs[0]

@@ -54,9 +54,12 @@ def outcomes(pairs: DataFrame, items: DataFrame, fps: DataFrame, config: EngineC
     if image_only:
         out = out.withColumns({"__score": F.lit(None).cast("int"), "__decision": F.lit(None).cast("string"), "__name": F.lit(False)})
     else:
-        checked = lookup.check(bare, fps, config).select(F.col("query_id").alias("pair_id"), "kind", "ref", F.col("score").alias("__score"), F.col("decision").alias("__decision"))
-        found = checked.join(want, ["pair_id", "kind", "ref"], "left_semi").drop("kind", "ref")
-        by_name = hit(blocking.candidates(bare.withColumns(blank), fps, config, limit=50, image=False), "__name")
+        # a check's limit is the pool's here, so a pair is among its hits if it is in the pool, and only those asked for are scored
+        text = persisted(blocking.by_text(bare, fps, config), "by-text")
+        pool = blocking.candidates(bare, fps, config, image=False, text=text).withColumnRenamed("query_id", "pair_id").join(want, ["pair_id", "kind", "ref"], "left_semi")
+        checked = lookup.scored_pairs(pool.withColumnRenamed("pair_id", "query_id"), bare, fps, config)
+        found = checked.select(F.col("query_id").alias("pair_id"), F.col("score").alias("__score"), F.col("decision").alias("__decision"))
+        by_name = hit(blocking.candidates(bare.withColumns(blank), fps, config, limit=50, image=False, text=text), "__name")
         out = out.join(found, "pair_id", "left").join(by_name, "pair_id", "left")
     return out.select(
         "pair_id", "query_kind", "query_ref", "candidate_kind", "candidate_ref", "label", "skip_reason", F.coalesce("__score", F.lit(0)).alias("score"),

@@ -23,8 +23,12 @@ def with_sides(pairs: DataFrame, queries: DataFrame, fps: DataFrame) -> DataFram
 def scored(queries: DataFrame, fps: DataFrame, config: EngineConfig | None = None, limit: int | None = None) -> DataFrame:
     """The pool of each query, scored."""
     config = config or EngineConfig()
-    pool = blocking.candidates(queries, fps, config, limit)
-    pairs = with_sides(pool, queries, fps)
+    return scored_pairs(blocking.candidates(queries, fps, config, limit), queries, fps, config)
+
+
+def scored_pairs(pairs: DataFrame, queries: DataFrame, fps: DataFrame, config: EngineConfig) -> DataFrame:
+    """Pairs (query_id, kind, ref) scored."""
+    pairs = with_sides(pairs, queries, fps)
     similar = name_similarity(F.col("q_name_norm"), F.col("c_name_norm"), F.col("c_brand_norm"))
     return scoring.score(pairs.withColumn("name_similarity", similar), config)
 

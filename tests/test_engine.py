@@ -8,13 +8,14 @@ import struct
 import zlib
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from samefold.config import KINDS, EngineConfig
 from samefold.engine import Engine
 from samefold.functions import similarity
-from samefold.operators import blocking, images, scoring
+from samefold.operators import blocking, images, scans, scoring
 from samefold.plans import decisions, evaluate, fingerprints, oracles, parse
 from samefold.plans import queries as engine_queries
 from samefold.schemas import FINGERPRINT, ITEM, QUERY
@@ -131,6 +132,48 @@ def test_name_leg_finds_its_row(spark):
     assert got == {(k, ref) for k, v in want.items() for _, ref in sorted(v)[:50]}
 
 
+@pytest.mark.parametrize("spread_out", [True, False])
+def test_text_legs_with_many_rows_of_one_name(spark, monkeypatch, spread_out):
+    """Names that many rows have, brands within queries, scopes and small limits, against all pairs; each name is
+    an entry once for a kind, however many rows have it."""
+    if spread_out:
+        monkeypatch.setattr(scans, "ENTRIES", 7)
+        monkeypatch.setattr(scans, "ASKS", 1)
+    rng = random.Random(5)
+    words = ["kettle", "kettles", "lamp", "desk", "blue9", "pro", "c2", "acme"]
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 4))) for _ in range(60)})
+    rows = [{"kind": KINDS[k % 2], "ref": f"r{rng.random():.9f}", "name_norm": rng.choice(names[:8] if k % 3 else names), "brand_norm": rng.choice(["", "acme", "desk lamp", "zeta"])} for k in range(400)]
+    fps = fp_rows(spark, rows)
+    asked = [(i, n, [[PIM], [ATLAS], list(KINDS)][i % 3]) for i, n in enumerate([*names[::3], "acme desk lamp pro", "desk lamp", "pro acme", "pro acme", "kettle desk lamp c2"])]
+    q = spark.createDataFrame([(i, n, sorted(set(n.split())), s) for i, n, s in asked], "query_id long, name_norm string, name_tokens array<string>, scope array<string>")
+    got = {}
+    for r in scans.by_name(q, fps, (3, 5), (0.3, 0.35, 0.6), (6, 4)).collect():
+        got.setdefault((r.query_id, r.leg), []).append((r.place, r.kind, r.ref))
+    gram = lambda t: frozenset(similarity.padded_trigrams(t))
+    share = lambda a, b: float(np.float32(len(a & b) / len(a | b)))
+    want = {}
+    for i, n, scope in asked:
+        tri, wordy = [], []
+        for r in rows:
+            if r["kind"] in scope:
+                own, brand = gram(r["name_norm"]), r["brand_norm"]
+                raw = share(gram(n), own)
+                named = brand and f" {brand} " in f" {n} "
+                sim = max(raw, share(gram(f" {n} ".replace(f" {brand} ", " ")), own)) if named else raw
+                if raw >= np.float32(0.3) and sim >= 0.35:
+                    tri.append((-sim, r["kind"], r["ref"]))
+                w = similarity.word_similarity_of(n, r["name_norm"])
+                if len(n.split()) > 1 and w >= np.float32(0.6):
+                    wordy.append((-w, r["kind"], r["ref"]))
+        for leg, found, k in ((3, tri, 6), (5, wordy, 4)):
+            if found:
+                want[i, leg] = [(p, kind, ref) for p, (_, kind, ref) in enumerate(sorted(found)[:k], 1)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+    entries = scans._entries(q, fps, 6).collect()
+    named = lambda r: r["brand_norm"] if r["brand_norm"] in ("acme", "desk lamp") else ""
+    assert len(entries) == len({(r["kind"], r["name_norm"], named(r)) for r in rows}) and max(len(e.refs) for e in entries) <= 6
+
+
 def test_word_leg(spark):
     fps = fp_rows(spark, [{"ref": "long", "name_norm": "kickscooter c2 pro kids 10.6mi range adjustable handlebar height refurbished"}, {"ref": "no", "name_norm": "garden hose"}])
     q = parse.parse(raw_queries(spark, [{"name": "kickscooter c2"}, {"name": "kickscoter c2 pro"}, {"name": "kickscooter"}]))
