@@ -15,13 +15,14 @@ Null texts have no words. Null or empty items have no windows. Items with one id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from samefold.llm.common import _FOLD, arrow_map, documents, fields, folded_words, packed, staged, table, unpacked, utf8
 
@@ -196,7 +197,7 @@ _COLUMNS = {"doc_id": pa.int64(), "n_words": pa.int64(), "spans": pa.list_(pa.in
 _MATCHES = "doc_id long, n_words long, spans array<bigint>, items array<string>, longest long"
 
 
-def _match(docs: DataFrame, items, window: int, keep_text: bool, extra: list[str]) -> DataFrame:
+def _match(docs: DataFrame, items, window: int, keep_text: bool, extra: list[str], then: Callable | None = None, into: StructType | None = None) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(items)  # at most SHARD_WORDS words
     state: dict[str, Automaton] = {}
@@ -213,17 +214,20 @@ def _match(docs: DataFrame, items, window: int, keep_text: bool, extra: list[str
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols, *more], [*list(_COLUMNS)[:5], *(["text"] if keep_text else []), *extra])
 
     schema = fields(_MATCHES + (", text string" if keep_text else ""), docs, *extra)
+    if then:  # in the same call: a second map would keep a second Python worker for each core
+        return arrow_map(docs.select("doc_id", "text", *extra), into, lambda batch: then(one(batch)))
     return arrow_map(docs.select("doc_id", "text", *extra), schema, one)
 
 
-def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, keep_text: bool = False, extra: tuple[str, ...] = (), shard_words: int = SHARD_WORDS) -> DataFrame:
+def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, keep_text: bool = False, extra: tuple[str, ...] = (), shard_words: int = SHARD_WORDS, then: Callable | None = None, into: StructType | None = None) -> DataFrame:
     """doc_id, n_words, spans (of hit words: start, end, start, ...), items, longest match, and
     the text if asked for. One row for each row of docs; no shuffle with a benchmark of one shard.
+    With `then`, what that function makes of batches of these columns (None: nothing), of schema `into`.
     With several, rows that agree in doc_id and text are told apart by nothing and come out alike."""
     parts = shards(bench, shard_words)
     first, second = next(parts), next(parts, None)
     if second is None:
-        return _match(docs, first, window, keep_text, list(extra))
+        return _match(docs, first, window, keep_text, list(extra), then, into)
     key = ["doc_id", "__text"]
     found = None
     for items in chain((first, second), parts):  # one after another, so the driver holds a part or two
@@ -242,10 +246,11 @@ def match(docs: DataFrame, bench: DataFrame, window: int = WINDOW, keep_text: bo
     hit = hit.select(F.col("doc_id").alias("__id"), F.col("__text").alias("__t"), F.expr(grow).alias("spans"), "items", "longest")
     base = _match(docs.withColumn("__text", F.xxhash64("text")), [], window, keep_text, ["__text", *extra]).drop("spans", "items", "longest")
     out = base.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__t")), "left")
-    return out.select(
+    out = out.select(
         "doc_id", "n_words", F.coalesce("spans", F.array().cast("array<bigint>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), *(["text"] if keep_text else []), *extra,
     )
+    return arrow_map(out, into, then) if then else out
 
 
 def n_hit():
@@ -256,19 +261,23 @@ def with_hits(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", F.when(F.size("spans") > 1, n_hit()).otherwise(F.lit(0)).cast("long"))
 
 
-def clean(docs: DataFrame, bench: DataFrame, max_coverage: float = 0.5, max_items: int = 1, window: int = WINDOW) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, max_coverage: float = 0.5, max_items: int = 1, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without what they share with the benchmark: a text with windows of over `max_items`
     items, or hit in over `max_coverage` of its words, goes; from others the hit spans are cut out."""
     columns, docs = docs.columns, packed(docs)
-    found = with_hits(match(docs, bench, window, keep_text=True, extra=("__x",)))
-    kept = found.where((F.size("items") <= max_items) & (F.col("n_hit") <= max_coverage * F.col("n_words")))
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        cut = [without(t, list(zip(s[::2], s[1::2], strict=True))) if s else t for s, t in zip(spans, texts, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string()), batch.column(3)], ["doc_id", "text", "__x"])
-
-    return unpacked(arrow_map(kept.select("doc_id", "spans", "text", "__x"), fields("doc_id long, text string", docs, "__x"), one), columns)
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        n_words, spans, items, texts = (batch.column(k).to_pylist() for k in (1, 2, 3, 5))
+        kept, cut = [], []
+        for k, s in enumerate(spans):
+            if len(items[k]) <= max_items and sum(s[1::2]) - sum(s[::2]) <= max_coverage * n_words[k]:
+                kept.append(k)
+                cut.append(without(texts[k], list(zip(s[::2], s[1::2], strict=True))) if s else texts[k])
+        at = pa.array(kept, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(cut, pa.string()), batch.column(6).take(at)], ["doc_id", "text", "__x"]) if kept else None
+
+    into = fields("doc_id long, text string", docs, "__x")
+    return unpacked(match(docs, bench, window, keep_text=True, extra=("__x",), shard_words=shard_words, then=one, into=into), columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

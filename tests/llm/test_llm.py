@@ -468,6 +468,23 @@ def test_decontaminate_cuts(spark):
     assert out[1].label == "clash"
 
 
+@pytest.mark.parametrize("shard", [200_000, 12])
+def test_decontaminate_cleans_in_one_map(spark, docs, empty, shard):
+    pieces = [t for t in texts() if t][3:20]
+    items = [(k, " ".join(t.split()[k % 4 : k % 4 + 3 + 2 * k])) for k, t in enumerate(pieces)] + [(90, None), (92, "the of")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shards = {} if shard == 200_000 else {"shard_words": shard}
+    out = decontaminate.clean(docs, bench, **shards)
+    got = by_id(out)
+    for k, t in enumerate(texts()):
+        n, hit, found = windows_truth(t, items)
+        assert (k in got) == (len(found) <= 1 and hit <= n / 2), k
+        assert k not in got or len(folded_words(got[k].text)) == n - hit and (hit or got[k].text == t), k
+    assert out.columns == docs.columns and decontaminate.clean(empty, bench, **shards).count() == 0
+    # a second map in a task takes a second Python worker for each core
+    assert shard == 12 or out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 # ---- 7
 
 
