@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from samefold.llm.common import arrow_map, documents, small_batches, staged, utf8
 from samefold.llm.linededup import keyed
+from samefold.storage import discard
 
 WINDOW = 100
 GRAM = 32
@@ -490,6 +491,8 @@ def cuts(docs: DataFrame) -> DataFrame:
     contexts = arrow_map(with_text, "a long, salt long, salts long, ord long, place long, bytes binary", fetch)
     placed = contexts.repartition("a", "salt").sortWithinPartitions("a", "salt", "ord", "place")
     found = staged(placed.mapInArrow(lambda b: sort_blocks(b, buckets), _CUT), "sorted")
+    discard(step)
+    discard(hot)
     packed = found.where(F.col("packed").isNotNull()).select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
     settled = packed.mapInArrow(settle, _CUT)
     pick = ["ord", "tag", "start", "stop"]

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -23,9 +24,16 @@ def scratch(spark: SparkSession) -> str:
 
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again. Long projections end there: a
-    filter on a normalised key would otherwise be pushed through them and repeat them whole."""
+    filter on a normalised key would otherwise be pushed through them and repeat them whole. The shuffle
+    files behind the table go at once; else they stay until the driver happens to collect its garbage."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.persisted_at = path
     return out

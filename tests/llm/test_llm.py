@@ -5,12 +5,14 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import os
 import random
 import re
 import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 from urllib.parse import quote
 
 import numpy as np
@@ -670,6 +672,18 @@ def test_suffix_dedup_of_one_passage_everywhere(spark, tmp_path, monkeypatch):
     assert got == bytes_truth(dict(enumerate(rows)))
 
 
+def test_suffix_dedup_leaves_one_table_and_no_shuffle(spark, tmp_path, monkeypatch):
+    frame(spark, long_texts()).write.parquet(str(tmp_path / "documents.parquet"))
+    files = lambda: {f for f in Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]).rglob("shuffle_*.data")}
+    kept, real = [], suffixdedup.staged
+    monkeypatch.setattr(suffixdedup, "staged", lambda df, name: kept.append((name, out := real(df, name))) or out)
+    spark.sparkContext._jvm.System.gc()
+    before = files()
+    suffixdedup.cuts(spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text"))
+    assert [name for name, df in kept if os.path.exists(df.persisted_at.removeprefix("file:"))] == ["sorted"]
+    assert sum(f.stat().st_size for f in files() - before) < 100_000
+
+
 def test_suffix_dedup_empty(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert suffixdedup.query(spark, str(tmp_path)).count() == 0
