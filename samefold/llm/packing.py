@@ -296,7 +296,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE) -
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences: one
     row for each piece; the last two are the same in all rows."""
     cut = staged(pieces(docs, path, size), "pieces")
-    counts = staged(cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))  # counted twice from two columns, not written
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= size rows
     patterns = pack(histogram, size)
     place, used = slots(patterns), sum(n for n, _ in patterns)

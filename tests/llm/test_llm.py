@@ -356,6 +356,12 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert sum(n for n, _ in patterns) == exact_bins(items, size), (size, items)
 
 
+def test_packing_writes_only_the_pieces(docs, monkeypatch):
+    written, real = [], packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, name: real(df, written.append(name) or name))
+    assert packing.pack_documents(docs).count() and written == ["pieces"]
+
+
 def test_packing_empty(empty):
     assert packing.pack_documents(empty).count() == 0
 
